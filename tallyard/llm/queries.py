@@ -82,7 +82,7 @@ ORACLE = {
             FROM q
         ), k AS (
             SELECT pos, side, base || '?' || array_to_string(list_sort(list_filter(list_transform(string_split(params, '&'),
-                x -> lower(regexp_replace(x, '[^\p{L}\p{Nd}]', '', 'g'))), y -> y <> '')), '&')
+                lambda x: lower(regexp_replace(x, '[^\p{L}\p{Nd}]', '', 'g'))), lambda y: y <> '')), '&')
                 || '#' || lower(regexp_replace(frag, '[^\p{L}\p{Nd}]', '', 'g')) AS key FROM s
         ), r AS (
             SELECT pos, array_to_string(list_sort(list(key)), chr(10)) AS key FROM k GROUP BY pos
