@@ -8,11 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canonical, fingerprint, lookalike, residue, tokenize
+from . import addresses, canonical, fingerprint, lookalike, matching, names, packing, residue, survivor, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = matching.match_sources(table(spark, d, "chamber_listing"), table(spark, d, "portal_listing"))
+    pairs = pairs.filter(F.col("confidence") >= 0.5)
+    return pairs.select(F.col("left_pos").alias("chamber_pos"), F.col("right_pos").alias("portal_pos"))
+
+
+def p1_confidences(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate pair with its calibrated confidence."""
+    return matching.match_sources(table(spark, d, "chamber_listing"), table(spark, d, "portal_listing"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_to_canonical(
         table(spark, d, "parsed_company"), table(spark, d, "canonical_city"), table(spark, d, "canonical_category")
@@ -27,6 +38,23 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = survivor.surviving_values(table(spark, d, "duplicate_group"), table(spark, d, "company"))
+    return found.select("group_id", "field_name", "company_id")
+
+
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.surviving_records(table(spark, d, "duplicate_group"), table(spark, d, "company"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_variants(table(spark, d, "portal_listing"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.same_buildings(table(spark, d, "parsed_company"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint.formatting_copies(table(spark, d, "parsed_company"))
 
@@ -52,6 +80,17 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("text") == F.col("back")).alias("n_same"))
 
 
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The bin of every text, or piece of one, for each capacity."""
+    return packing.fill_containers(table(spark, d, "documents"), table(spark, d, "container_spec")).drop("load")
+
+
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Bins and share of the space used for each capacity."""
+    containers = table(spark, d, "container_spec")
+    return packing.fill_report(packing.fill_containers(table(spark, d, "documents"), containers), containers)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(table(spark, d, "documents"))
 
