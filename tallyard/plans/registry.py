@@ -5,20 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..session import table
+from . import expressions, relational
 
-FLAGSHIP = "seed_stats"
-
-
-def seed_stats(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "seed").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+MODULES = (expressions, relational)
+FLAGSHIP = "completeness_score"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"seed_stats": seed_stats}
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"seed_stats": "SELECT status, count(*) AS n FROM seed GROUP BY status"}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
