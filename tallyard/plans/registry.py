@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import expressions, relational
+from . import expressions, pages, relational
 
-MODULES = (expressions, relational)
+MODULES = (expressions, relational, pages)
 FLAGSHIP = "completeness_score"
 
 
