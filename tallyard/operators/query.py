@@ -67,10 +67,10 @@ def first_per_key(table: DataFrame, key: Sequence[str], order: str) -> DataFrame
 
 def page_cursor(pages: DataFrame, order: str, active: int) -> DataFrame:
     """Planned pages numbered in order, the active one (clamped) and what follows it."""
-    w = W.Window.orderBy(order)
-    numbered = pages.withColumn("page_no", F.row_number().over(w) - 1)
-    last = numbered.agg(F.max("page_no").alias("last"))
-    current = F.greatest(F.lit(0), F.least(F.lit(active), F.col("last")))
-    numbered = numbered.crossJoin(F.broadcast(last))  # one row
-    following = F.when(F.col("page_no") < F.col("last"), F.col("page_no") + 1)
+    from ..sources.exports import with_ids
+
+    numbered = with_ids(pages, order, -1, "page_no")
+    last = (numbered.agg(F.max("page_no")).collect()[0][0] or 0) if not numbered.isEmpty() else 0
+    current = max(0, min(active, last))
+    following = F.when(F.col("page_no") < last, F.col("page_no") + 1)
     return numbered.select(*pages.columns, "page_no", (F.col("page_no") == current).alias("is_active"), following.alias("next_page"))

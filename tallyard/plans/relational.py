@@ -58,6 +58,9 @@ _KEY = f"""CASE WHEN coalesce({S.name_key(f"coalesce({S.filled('name_en')}, name
 _ORDER = f"(NOT {S.blank('website_url')})::INT DESC, (NOT {S.blank('email')})::INT DESC, (NOT {S.blank('phone')})::INT DESC, coalesce(confidence_score, 0) DESC, pos"
 
 
+_BEST = ("pos", "name_en", "name_ar", "website_url", "email", "phone", "confidence_score")
+
+
 def _best_sql(key: str) -> str:
     return (
         f"WITH k AS (SELECT *, {key} AS key FROM parsed_company), r AS (SELECT key, pos, row_number() OVER (PARTITION BY key ORDER BY {_ORDER}) AS n,"
@@ -68,7 +71,8 @@ def _best_sql(key: str) -> str:
 
 @plan(_best_sql(_KEY))
 def best_records(spark: SparkSession, d: str) -> DataFrame:
-    return dedupe.best_records(table(spark, d, "parsed_company")).select("key", "first_pos", "n_rows", "pos")
+    t = table(spark, d, "parsed_company").select(*_BEST)
+    return dedupe.best_records(t).select("key", "first_pos", "n_rows", "pos")
 
 
 _STRICT = f"nullif(regexp_replace({S.name_key('name_en')}, '[\\s.-]+', '', 'g'), '')"
@@ -77,7 +81,7 @@ _STRICT = f"nullif(regexp_replace({S.name_key('name_en')}, '[\\s.-]+', '', 'g'),
 @plan(_best_sql(_STRICT))
 def best_records_strict(spark: SparkSession, d: str) -> DataFrame:
     key = text.strict_key(F.col("name_en"))
-    found = dedupe.best_records(table(spark, d, "parsed_company"), F.when(key != "", key))
+    found = dedupe.best_records(table(spark, d, "parsed_company").select(*_BEST), F.when(key != "", key))
     return found.select("key", "first_pos", "n_rows", "pos")
 
 
