@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import expressions, pages, relational
+from . import expressions, extra, pages, relational
 
-MODULES = (expressions, relational, pages)
+MODULES = (expressions, relational, pages, extra)
 FLAGSHIP = "completeness_score"
 
 
