@@ -24,7 +24,7 @@ from ..session import blank, lookup_join, materialise
 
 UNMATCHED = "unmatched"
 #: Windows remembered by a Python worker; beyond this many the memory is emptied, results do not change.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: A reference table above this many rows would not be built into one trie on the driver.
 MOST_ENTRIES = 2_000_000
 
