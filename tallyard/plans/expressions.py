@@ -249,9 +249,6 @@ def log_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.length(c).cast("long").alias("n_chars"), logged, tokens)
 
 
-_EMAILS = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,24}"
-
-
 @query()
 def text_contacts(spark: SparkSession, d: str) -> DataFrame:
     """Addresses and numbers found in running text."""
@@ -290,10 +287,6 @@ def csv_rows(spark: SparkSession, d: str) -> DataFrame:
     return exports.csv_lines(table(spark, d, "parsed_company"), _CSV, keep=("pos",))
 
 
-def _payload(x: str, default: str) -> str:
-    return f"coalesce({x}, {default}) AS {x}"
-
-
 @query(
     "SELECT pos, coalesce(name_en, '') AS name_en, coalesce(status, 'pending') AS status, coalesce(is_verified, false) AS is_verified,"
     " coalesce(confidence_score, 0) AS confidence_score, array_to_string(coalesce(categories, []), ';') AS categories FROM company"
