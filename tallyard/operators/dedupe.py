@@ -37,65 +37,61 @@ def best_records(rows: DataFrame, key: Column | None = None, pos: str = "pos") -
     return keyed.groupBy("key").agg(best, F.min(pos).alias("first_pos"), F.count(F.lit(1)).alias("n_rows")).select("key", "first_pos", "n_rows", "r.*")
 
 
-def _most_edits(length: int) -> int:
-    """Most edits of two names whose longer one has ``length`` letters and whose similarity is above 0.85."""
-    return math.ceil(0.15 * length - 1e-9) - 1
-
-
-def _segments(length: int, pieces: int) -> list[tuple[int, int]]:
-    """Begin and length of each of ``pieces`` even segments of a text of ``length`` letters."""
-    short, longer = divmod(length, pieces)
-    out, at = [], 0
-    for i in range(pieces):
-        n = short + (i >= pieces - longer)
-        out.append((at, n))
-        at += n
+#: Letters of a q-gram of the similar-name join.
+GRAM = 3
+
+
+def most_edits(length: int) -> int:
+    """Most edits between a name of ``length`` letters and a longer or equal one whose similarity is above 0.85."""
+    best = 0
+    for longer in range(length, int(length / 0.85) + 2):
+        d = math.ceil(0.15 * longer - 1e-9) - 1
+        if longer - length <= d:
+            best = max(best, d)
+    return best
+
+
+def grams(name: str) -> list[str]:
+    """q-grams of a name, repeated ones numbered."""
+    seen: dict[str, int] = {}
+    out = []
+    for i in range(len(name) - GRAM + 1):
+        g = name[i : i + GRAM]
+        k = seen[g] = seen.get(g, -1) + 1
+        out.append(f"{g}{k}" if k else g)
     return out
 
 
-def segment_keys(name: str, probe: bool) -> list[str]:
-    """Partition keys for an exact edit-distance join.
-
-    A text within ``d`` edits of another, cut into d + 1 segments, has one segment unchanged at nearly the same place. The
-    shorter text of a pair is indexed by its segments, the longer one probes for them at the places they can have moved to.
-    """
-    out, n = set(), len(name)
-    if not probe:
-        for longer in range(n, int(n / 0.85) + 2):
-            d = _most_edits(longer)
-            if d >= 0 and longer - n <= d and d + 1 <= n:
-                out |= {f"{longer}|{n}|{i}|{name[at : at + size]}" for i, (at, size) in enumerate(_segments(n, d + 1))}
-        return sorted(out)
-    d = _most_edits(n)
-    for shorter in range(max(1, n - d), n + 1) if d >= 0 else ():
-        if d + 1 > shorter:
-            continue
-        moved = n - shorter
-        for i, (at, size) in enumerate(_segments(shorter, d + 1)):
-            lo, hi = max(at - i, at + moved - (d - i)), min(at + i, at + moved + (d - i))
-            out |= {f"{n}|{shorter}|{i}|{name[p : p + size]}" for p in range(max(lo, 0), min(hi, n - size) + 1)}
-    return sorted(out)
+def gram_prefix(name: str, rank: dict[str, int]) -> list[str]:
+    """The rarest q-grams of a name, one more than all allowed edits can change: similar names have one in common."""
+    d = most_edits(len(name))
+    found = sorted(grams(name), key=lambda g: (rank.get(g[:GRAM], 0), g))
+    return found[: GRAM * d + 1] if d else []
 
 
 def similar_name_pairs(rows: DataFrame) -> DataFrame:
     """``city, name_a, name_b, confidence``: different bare names of one city that the name test accepts above 0.7.
 
-    ``rows`` has city and name; each distinct pair of them is compared once. Candidates meet on unchanged segments (exact
-    for the similarity above 0.85 and for containment, which then needs a length ratio above 0.875).
+    ``rows`` has city and name; each distinct pair of them is compared once. Candidates share one of their rarest q-grams
+    (a prefix filter, exact for the similarity above 0.85 and for containment, which then needs a length ratio above
+    0.875). The frequencies of q-grams are counted over all names; there are at most letters to the power of 3 of them.
     """
-    named = rows.filter("city is not null and length(name) > 0").select("city", "name").distinct()
-
-    def keys(probe: bool) -> Column:
-        @F.arrow_udf("array<string>")
-        def made(names: pa.Array) -> pa.Array:
-            return pa.array([segment_keys(n, probe) for n in names.to_pylist()], pa.list_(pa.string()))
-
-        return F.explode(made("name"))
-
-    a = named.select("city", F.col("name").alias("name_a"), keys(False).alias("key"))
-    b = named.select("city", F.col("name").alias("name_b"), keys(True).alias("key"))
-    met = a.join(b, ["city", "key"]).filter("name_a <> name_b").select("city", "name_a", "name_b")
-    met = met.select("city", F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b")).distinct()
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = materialise(rows.filter("city is not null and length(name) > 0").select("city", "name").distinct().repartition(parts))
+    at = F.sequence(F.lit(1), F.greatest(F.length("name") - (GRAM - 1), F.lit(1)))
+    counted = named.select(F.explode(F.transform(at, lambda i: F.substring("name", i, F.lit(GRAM)))).alias("g")).groupBy("g").count()
+    rank = spark.sparkContext.broadcast({r[0]: r[1] for r in counted.collect()})
+
+    @F.arrow_udf("array<string>")
+    def keys(names: pa.Array) -> pa.Array:
+        return pa.array([gram_prefix(n, rank.value) for n in names.to_pylist()], pa.list_(pa.string()))
+
+    posted = named.select("city", "name", F.length("name").alias("size"), F.explode(keys("name")).alias("key"))
+    a = posted.select("city", "key", F.col("name").alias("name_a"), F.col("size").alias("size_a"))
+    b = posted.select("city", "key", F.col("name").alias("name_b"), F.col("size").alias("size_b"))
+    close = F.least("size_a", "size_b") >= 0.85 * F.greatest("size_a", "size_b")
+    met = a.join(b, ["city", "key"]).filter((F.col("name_a") < F.col("name_b")) & close).select("city", "name_a", "name_b").distinct()
     tested = met.withColumn("m", text.same_company(F.col("name_a"), F.col("name_b"))).filter("m.matches and m.confidence > 0.7")
     return tested.select("city", "name_a", "name_b", F.col("m.confidence").alias("confidence"))
 
@@ -133,27 +129,24 @@ def duplicate_groups(rows: DataFrame, pos: str = "pos") -> DataFrame:
     rounds: whoever is the first of all its keys among the open records is a head, since nothing before it can take it. A
     round is a few aggregates over (record, key) rows, so no task holds a group, and is written out before the next.
     """
+    columns = ("pos", "key", "reason", "confidence")
     open_keys = materialise(link_keys(rows, pos).distinct())
     found = None
     while True:
         first = open_keys.groupBy("key").agg(F.min("pos").alias("first"), F.count_distinct("pos").alias("n"))
-        first = materialise(first.filter("n > 1"))
-        linked = lookup_join(open_keys, first, ["key"], "n")
+        linked = materialise(lookup_join(open_keys, materialise(first.filter("n > 1")), ["key"], "n"))
         state = linked.groupBy("pos").agg(F.max(F.col("first") < F.col("pos")).alias("waits"))
         heads = materialise(state.filter("not waits").select(F.col("pos").alias("first")))
-        taken = linked.filter("first < pos").join(heads, "first", "left_semi")
         best = F.max_by("reason", F.struct("confidence", "reason"))
-        taken = taken.groupBy("pos", "first").agg(best.alias("reason"), F.max("confidence").alias("confidence"))
+        taken = linked.filter("first < pos").join(heads, "first", "left_semi").groupBy("pos", "first")
+        taken = taken.agg(best.alias("reason"), F.max("confidence").alias("confidence"))
         taken = taken.groupBy("pos").agg(F.min(F.struct("first", "reason", "confidence")).alias("t"))
         taken = materialise(taken.select(F.col("t.first").alias("head_pos"), "pos", "t.reason", "t.confidence"))
         if taken.isEmpty():
-            break
+            return taken if found is None else found
         found = taken if found is None else found.unionByName(taken)
         gone = taken.select("pos").union(heads.select(F.col("first").alias("pos")))
-        open_keys = materialise(open_keys.join(gone, "pos", "left_anti"))
-    if found is None:
-        return taken
-    return found
+        open_keys = linked.select(*columns).join(gone, "pos", "left_anti")
 
 
 def star_links(rows: DataFrame, key: Column, pos: str = "pos") -> DataFrame:
