@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
+import pathlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,14 +81,23 @@ def blank(c: Column) -> Column:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable for the Python workers, wherever they were started (once per context)."""
-    import pathlib
-    import shutil
+    """Make this package importable for the Python workers, wherever they were started (once per context).
 
+    The archive is written to the shared folder, from which every executor fetches it.
+    """
     context = spark.sparkContext
     if getattr(context, "_tallyard_shipped", False):
         return
     root = pathlib.Path(__file__).resolve().parent
-    base = pathlib.Path(tempfile.mkdtemp(prefix="tallyard-pkg-")) / "tallyard_package"
-    context.addPyFile(shutil.make_archive(str(base), "zip", root.parent, root.name))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, f"{root.name}/{file.relative_to(root)}")
+    path = f"{shared_folder(spark)}/tallyard-{uuid.uuid4().hex}/tallyard_package.zip"
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(context._jsc.hadoopConfiguration())
+    stream = files.create(target, True)
+    stream.write(bytearray(held.getvalue()))
+    stream.close()
+    context.addPyFile(target.makeQualified(files.getUri(), files.getWorkingDirectory()).toString())
     context._tallyard_shipped = True
