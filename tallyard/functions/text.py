@@ -30,7 +30,7 @@ def blank(c: Column) -> Column:
 
 def filled(c: Column) -> Column:
     """The trimmed text, null for a blank one."""
-    return F.when(~blank(c), trim(c))
+    return F.nullif(trim(c), F.lit(""))
 
 
 def clean(c: Column) -> Column:

@@ -22,9 +22,8 @@ def completeness_order(pos: str = "pos") -> Column:
 
 def record_key() -> Column:
     """Name key of a record; its site where there is no name; null where there is neither."""
-    name = text.name_key(F.coalesce(text.filled(F.col("name_en")), F.col("name_ar")))
-    site = F.lower(text.trim(F.col("website_url")))
-    return F.when(F.coalesce(name, F.lit("")) != "", name).when(F.coalesce(site, F.lit("")) != "", F.concat(F.lit("|||"), site))
+    name = F.nullif(text.name_key(F.coalesce(text.filled(F.col("name_en")), F.col("name_ar"))), F.lit(""))
+    return F.coalesce(name, F.concat(F.lit("|||"), F.lower(text.filled(F.col("website_url")))))
 
 
 def best_records(rows: DataFrame, key: Column | None = None, pos: str = "pos") -> DataFrame:

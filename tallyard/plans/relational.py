@@ -81,7 +81,7 @@ _STRICT = f"nullif(regexp_replace({S.name_key('name_en')}, '[\\s.-]+', '', 'g'),
 @plan(_best_sql(_STRICT))
 def best_records_strict(spark: SparkSession, d: str) -> DataFrame:
     key = text.strict_key(F.col("name_en"))
-    found = dedupe.best_records(table(spark, d, "parsed_company").select(*_BEST), F.when(key != "", key))
+    found = dedupe.best_records(table(spark, d, "parsed_company").select(*_BEST), F.nullif(key, F.lit("")))
     return found.select("key", "first_pos", "n_rows", "pos")
 
 
