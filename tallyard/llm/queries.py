@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = matching.match_sources(table(spark, d, "chamber_listing"), table(spark, d, "portal_listing"))
-    pairs = pairs.filter(F.col("confidence") >= 0.5)
+    pairs = pairs.filter(F.col("confidence") >= matching.DECISION)
     return pairs.select(F.col("left_pos").alias("chamber_pos"), F.col("right_pos").alias("portal_pos"))
 
 
