@@ -1,7 +1,7 @@
 """Problem 4: link the spellings of one organisation's name.
 
-Words that many rows share (legal forms, trades, given names and their abbreviations) say little; the rest of a name are
-its distinctive tokens. Each token is reduced to a consonant skeleton in which Latin and Arabic writings meet. The index
+Words that stand beside many different words (legal forms, trades, given names and their abbreviations) say little; the
+rest of a name are its distinctive tokens. How often an organisation is listed doesn't matter for that. Each token is reduced to a consonant skeleton in which Latin and Arabic writings meet. The index
 is a symmetric-delete neighbourhood on the skeletons of two tokens of a name: rows that share a neighbourhood key are
 candidates, however their parts are ordered. Candidates are verified by an optimal assignment of their tokens, each pair
 compared in its own script or across scripts, permitting initials and abbreviations among the shared words.
@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 
-#: Share of rows (and least number of rows) from which on a word is shared rather than distinctive.
-SHARED_SHARE, SHARED_LEAST = 0.001, 12
+#: Share of all partner words (and least number of them) beside which a word stands when it is shared rather than distinctive.
+SHARED_SHARE, SHARED_LEAST = 0.025, 12
 #: Tokens of a name that are all paired with each other; of more, each is paired with the next so many.
 PAIRED = 6
 
@@ -37,6 +37,8 @@ LEGAL = frozenset(
     وشركاه واولاده وأولاده بن ابن أبو ابو
     """.split()
 )
+# Words that follow the name of a shop or brand.
+OUTLETS = frozenset("store shop mart brand online".split())
 # Consonants of Arabic and of Latin digraphs, in classes that are confused in typing and romanising.
 ARABIC_CLASS = dict(zip("بتثجحخدذرزسشصضطظعغفقكلمنهپچگڤ", "bt0jhxd0rzscsdtz'kfkklmnhbckf"))
 LATIN_DIGRAPHS = (
@@ -195,7 +197,7 @@ class Tokenizer:
         return self._known[word]
 
     def _ordinary(self, w: str) -> bool:
-        if w in LEGAL_FOLDED or w in self.shared or len(w) < 3:
+        if w in LEGAL_FOLDED or w in OUTLETS or w in self.shared or len(w) < 3:
             return True
         if not is_arabic(w):
             if len(w) < 5 or any(w != x and _subsequence(w, x) for x in self._by_first.get(w[0], ())):
@@ -283,18 +285,43 @@ def same_names(a: list[str], b: list[str]) -> bool:
     return best <= 2.0
 
 
+def partner_key(word: str) -> str:
+    """What a word counts as where it stands beside another: its coarse skeleton and digits; empty for legal forms."""
+    if len(word) < 3 or word in LEGAL_FOLDED:
+        return ""
+    return coarse(word) + "".join(filter(str.isdigit, word))
+
+
 def shared_words(names: DataFrame, *columns: str) -> set[str]:
-    """Words in at least ``SHARED_SHARE`` of the rows (at most the words of an average name divided by that share)."""
+    """Words that stand beside at least ``SHARED_SHARE`` of all different partner words.
 
-    @F.arrow_udf("array<string>")
+    Different names are counted, not rows, and a partner's misspellings as one with it: each partner stands for the
+    most frequent skeleton in its symmetric-delete neighbourhood. So an organisation's own words have few partners,
+    however many rows and writings it has.
+    """
+
+    @F.arrow_udf("array<struct<w: string, k: string>>")
     def split(*texts: pa.Array) -> pa.Array:
         rows = zip(*(t.to_pylist() for t in texts))
-        return pa.array([sorted({w for t in row for w in words(t)}) for row in rows], pa.list_(pa.string()))
+        found = [sorted({w for t in row for w in words(t)}) for row in rows]
+        kind = pa.list_(pa.struct([("w", pa.string()), ("k", pa.string())]))
+        return pa.array([[{"w": w, "k": partner_key(w)} for w in row] for row in found], kind)
 
-    counted = names.select(F.explode(split(*columns)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    rows = names.count()
-    least = max(SHARED_LEAST, min(20, rows // 400), int(rows * SHARED_SHARE))
-    return {r[0] for r in counted.filter(F.col("n") >= least).select("w").collect()}
+    @F.arrow_udf("array<string>")
+    def neighbours(keys: pa.Array) -> pa.Array:
+        return pa.array([sorted(deletes(k)) for k in keys.to_pylist()], pa.list_(pa.string()))
+
+    named = materialise(names.select(*columns).distinct().select(split(*columns).alias("x")))
+    counted = named.select(F.explode(F.array_distinct("x.k")).alias("k")).filter("k <> ''").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    near_ = materialise(counted.select("k", "n", F.explode(neighbours("k")).alias("d")))
+    weight = near_.groupBy("d").agg(F.sum("n").alias("m"))
+    stands = near_.join(weight, "d").groupBy("k").agg(F.max(F.struct("m", "d")).alias("best")).select("k", F.col("best.d").alias("p"))
+    stands = materialise(stands)
+    beside = named.select(F.explode("x.w").alias("w"), "x").select("w", F.explode("x").alias("y"))
+    beside = beside.filter("w <> y.w and y.k <> ''").select("w", F.col("y.k").alias("k")).distinct()
+    partners = beside.join(stands, "k").groupBy("w").agg(F.count_distinct("p").alias("n"))
+    least = max(SHARED_LEAST, SHARED_SHARE * stands.select("p").distinct().count())
+    return {r[0] for r in partners.filter(F.col("n") >= least).select("w").collect()}
 
 
 def token_column(shared, name: Column, other: Column) -> Column:
@@ -326,8 +353,8 @@ def name_variants(
 ) -> DataFrame:
     """``pos_a, pos_b``: pairs of rows that name one organisation, equal spellings included, smaller key first.
 
-    Names without two distinctive tokens (null, blank, initials only, a trade only) name no organisation and have no
-    pairs. Rows with the same names share a representative, so copies are compared once; their pairs are expanded last.
+    Names without distinctive tokens (null, blank, initials only, a trade only) name no organisation and have no pairs;
+    those with one are paired with equal names only. Rows with the same names share a representative, so copies are compared once; their pairs are expanded last.
     Repeated keys give no pair with themselves. Very long names are tokenised whole.
     """
     spark = listings.sparkSession
@@ -336,7 +363,7 @@ def name_variants(
     named = rows.groupBy("a", "b").agg(F.min("pos").alias("rep"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = named.repartition(parts, "rep").withColumn("tokens", token_column(shared, F.col("a"), F.col("b")))
-    named = materialise(named.filter(F.size("tokens") >= 2))
+    named = materialise(named.filter(F.size("tokens") >= 1))
     keyed = named.select("rep", "tokens", F.explode(key_column("tokens")).alias("key"))
     a = keyed.select("key", F.col("rep").alias("ra"))
     b = keyed.select("key", F.col("rep").alias("rb"))

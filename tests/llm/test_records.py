@@ -244,6 +244,27 @@ def test_variants(spark):
     assert names.name_variants(listing(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("copies", [30, 300])
+def test_an_organisation_with_many_rows_keeps_its_words(spark, copies):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bdfjklmnrstz") + rng.choice("aiu") for _ in range(4))
+    rows = [{"pos": i, "name_en": f"{word()} {word()} Printing Company"} for i in range(400)]
+    typed = ["Khabookhja", "Khaboohkja", "Khabookhjaa", "Khaboookhja", "Khabokhja"]
+    hot = [{"pos": 1000 + i, "name_en": f"{typed[i % 5]} Raasidmun {'Printing' if i % 2 else 'Prntg'} Co {'.' * (i // 10)}"} for i in range(copies)]
+    got = {tuple(r) for r in names.name_variants(listing(spark, rows + hot)).collect() if r[0] >= 1000}
+    assert got == set(itertools.combinations(range(1000, 1000 + copies), 2))
+    shared = names.shared_words(listing(spark, rows + hot), "name_en", "name_ar")
+    assert {"printing", "company"} <= shared and not {"khabookhja", "raasidmun"} & shared
+
+
+def test_equal_names_with_one_own_word_are_linked(spark):
+    rows = [{"pos": i, "name_en": f"Q{i % 7}zv{i}k M{i}rtb Printing Company"} for i in range(60)]
+    rows += [{"pos": 1000 + i, "name_en": x} for i, x in enumerate(["Khabookhja Printing Co", "Khabookhja Printing Co", "Khabookhja Printing Ltd", "Printing Co", "Printing Co"])]
+    assert {tuple(r) for r in names.name_variants(listing(spark, rows)).collect() if r[0] >= 1000} == {(1000, 1001)}
+
+
 # addresses
 
 
