@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import lookup_join, materialise
-from .names import fold, same_names, skeleton, strip_article
+from .names import beside, coarse, fold, same_names, skeleton, strip_article
 
 #: Least cosine similarity; pairs without a common postal code need the second, and two common words below the third.
 THRESHOLD, WITHOUT_POSTAL, CERTAIN = 0.25, 0.28, 0.6
-#: Share (and least number) of addresses a word is in to be common, such as the name of a city.
+#: Share (and least number) of addresses a word is in to be common, such as the name of a city, and the share (and least
+#: number) of all different words it then stands beside; a busy building's or street's words stand beside few.
 COMMON_SHARE, COMMON_LEAST = 0.005, 12
+BESIDE_SHARE, BESIDE_LEAST = 0.05, 12
 #: Letters of an n-gram.
 SIZE = 4
 
@@ -120,6 +122,24 @@ def same_building(cos: float, postal_a: str | None, postal_b: str | None, a: lis
     return cos >= CERTAIN or (cos >= WITHOUT_POSTAL and same_names(a, b))
 
 
+def common_words(texts: DataFrame, total: int) -> set[str]:
+    """Words (column ``words`` of ``total`` texts) in many addresses and beside many different words: at most the words
+    of an address divided by ``COMMON_SHARE``."""
+
+    @F.arrow_udf("array<struct<w: string, k: string>>")
+    def keyed(found: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("w", pa.string()), ("k", pa.string())]))
+        return pa.array([[{"w": w, "k": coarse(w)} for w in ws] for ws in found.to_pylist()], kind)
+
+    usual = texts.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    usual = usual.filter(F.col("n") >= max(COMMON_LEAST, int(total * COMMON_SHARE))).select("w").collect()
+    if not usual:
+        return set()
+    named = materialise(texts.select("words").distinct().select(keyed("words").alias("x")))
+    partners, words = beside(named, [r[0] for r in usual])
+    return {r[0] for r in partners.filter(F.col("n") >= max(BESIDE_LEAST, BESIDE_SHARE * words)).select("w").collect()}
+
+
 def same_buildings(listings: DataFrame, key: str = "pos", address: str = "full_address", hot_rows: int = 200_000) -> DataFrame:
     """``pos_a, pos_b``: pairs of rows whose addresses denote one building, equal writings included, smaller key first.
 
@@ -144,9 +164,7 @@ def same_buildings(listings: DataFrame, key: str = "pos", address: str = "full_a
 
     counted = texts.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy("g").collect()
     total = texts.count()
-    usual = texts.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    usual = usual.filter(F.col("n") >= max(COMMON_LEAST, int(total * COMMON_SHARE))).select("w").collect()
-    common = spark.sparkContext.broadcast({r[0] for r in usual})  # at most the words of an address divided by the share
+    common = spark.sparkContext.broadcast(common_words(texts, total))
     # n-grams are at most the number of skeleton letters to the power of SIZE
     weight = spark.sparkContext.broadcast({r["g"]: (i, math.log(1 + total / r["n"])) for i, r in enumerate(counted)})
 

@@ -292,12 +292,34 @@ def partner_key(word: str) -> str:
     return coarse(word) + "".join(filter(str.isdigit, word))
 
 
+def beside(named: DataFrame, only: list[str] | None = None) -> tuple[DataFrame, int]:
+    """``w, n``: beside how many different partners each word stands, and how many partners there are.
+
+    ``named`` has in ``x`` the words ``w`` of a text and what they count as, ``k``. Misspellings of a partner count as one
+    with it: it stands for the most frequent key in its symmetric-delete neighbourhood. ``only``: the words to count for.
+    """
+
+    @F.arrow_udf("array<string>")
+    def neighbours(keys: pa.Array) -> pa.Array:
+        return pa.array([sorted(deletes(k)) for k in keys.to_pylist()], pa.list_(pa.string()))
+
+    counted = named.select(F.explode(F.array_distinct("x.k")).alias("k")).filter("k <> ''").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    near_ = materialise(counted.select("k", "n", F.explode(neighbours("k")).alias("d")))
+    weight = near_.groupBy("d").agg(F.sum("n").alias("m"))
+    stands = near_.join(weight, "d").groupBy("k").agg(F.max(F.struct("m", "d")).alias("best")).select("k", F.col("best.d").alias("p"))
+    stands = materialise(stands)
+    pairs = named.select(F.explode("x.w").alias("w"), "x")
+    if only is not None:
+        pairs = pairs.filter(F.col("w").isin(only))
+    pairs = pairs.select("w", F.explode("x").alias("y")).filter("w <> y.w and y.k <> ''").select("w", F.col("y.k").alias("k")).distinct()
+    return pairs.join(stands, "k").groupBy("w").agg(F.count_distinct("p").alias("n")), stands.select("p").distinct().count()
+
+
 def shared_words(names: DataFrame, *columns: str) -> set[str]:
     """Words that stand beside at least ``SHARED_SHARE`` of all different partner words.
 
-    Different names are counted, not rows, and a partner's misspellings as one with it: each partner stands for the
-    most frequent skeleton in its symmetric-delete neighbourhood. So an organisation's own words have few partners,
-    however many rows and writings it has.
+    Different names are counted, not rows, and a partner's misspellings as one with it. So an organisation's own words
+    have few partners, however many rows and writings it has.
     """
 
     @F.arrow_udf("array<struct<w: string, k: string>>")
@@ -307,21 +329,9 @@ def shared_words(names: DataFrame, *columns: str) -> set[str]:
         kind = pa.list_(pa.struct([("w", pa.string()), ("k", pa.string())]))
         return pa.array([[{"w": w, "k": partner_key(w)} for w in row] for row in found], kind)
 
-    @F.arrow_udf("array<string>")
-    def neighbours(keys: pa.Array) -> pa.Array:
-        return pa.array([sorted(deletes(k)) for k in keys.to_pylist()], pa.list_(pa.string()))
-
     named = materialise(names.select(*columns).distinct().select(split(*columns).alias("x")))
-    counted = named.select(F.explode(F.array_distinct("x.k")).alias("k")).filter("k <> ''").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    near_ = materialise(counted.select("k", "n", F.explode(neighbours("k")).alias("d")))
-    weight = near_.groupBy("d").agg(F.sum("n").alias("m"))
-    stands = near_.join(weight, "d").groupBy("k").agg(F.max(F.struct("m", "d")).alias("best")).select("k", F.col("best.d").alias("p"))
-    stands = materialise(stands)
-    beside = named.select(F.explode("x.w").alias("w"), "x").select("w", F.explode("x").alias("y"))
-    beside = beside.filter("w <> y.w and y.k <> ''").select("w", F.col("y.k").alias("k")).distinct()
-    partners = beside.join(stands, "k").groupBy("w").agg(F.count_distinct("p").alias("n"))
-    least = max(SHARED_LEAST, SHARED_SHARE * stands.select("p").distinct().count())
-    return {r[0] for r in partners.filter(F.col("n") >= least).select("w").collect()}
+    partners, total = beside(named)
+    return {r[0] for r in partners.filter(F.col("n") >= max(SHARED_LEAST, SHARED_SHARE * total)).select("w").collect()}
 
 
 def token_column(shared, name: Column, other: Column) -> Column:

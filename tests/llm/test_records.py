@@ -308,6 +308,17 @@ def test_same_buildings(spark):
     assert addresses.same_buildings(listing(spark, [])).collect() == []
 
 
+def test_a_busy_building_keeps_its_words(spark):
+    rows = [{"pos": i, "full_address": f"{3000 + i} {a}{b}rtaab {b}{a}lseem Road, Mathhoor"} for i, (a, b) in enumerate(itertools.product("bdfjklmnrstz", "bdfjklmnrstz"))]
+    busy = [f"Bldg 1076 Jamooztha Jifjaat Lane, {'Khalkeek Zaabiy Thafsoon' if i % 2 else 'Dufaam'} {'-' * i}, Mathhoor" for i in range(60)]
+    rows += [{"pos": 1000 + i, "full_address": x} for i, x in enumerate(busy)]
+    rows += [{"pos": 2000, "full_address": "1076 Hightaam Bareef Road, Mathhoor"}]
+    got = {tuple(r) for r in addresses.same_buildings(listing(spark, rows)).collect() if r[0] >= 1000}
+    assert got == set(itertools.combinations(range(1000, 1060), 2))
+    words = spark.createDataFrame([(sorted(set(addresses.read_address(r["full_address"])[2])),) for r in rows], "words array<string>")
+    assert addresses.common_words(words, len(rows)) == {"mathhoor"}
+
+
 # matching
 
 
