@@ -346,6 +346,27 @@ def test_minhash_recall_on_mistyped_names():
     assert met / total >= 0.9
 
 
+@pytest.mark.parametrize("crossing", [True, False])
+def test_minhash_recall_across_scripts_and_on_names_mistyped_twice(crossing):
+    """Against brute force: of the pairs whose shingles have a similarity of 0.2 to 0.3, at least 0.9 share a key."""
+    import random
+
+    rng = random.Random(11)
+    arabic = dict(zip("btjdrzsfklmn", "بتجدرزسفكلمن"))
+    write = lambda word: "".join(arabic[c] for c in word) if crossing else "".join(c + "a" for c in word)
+    form = names.across if crossing else names.spelling
+    met = total = 0
+    while total < 400:
+        a = ["".join(rng.sample(sorted(arabic), rng.randrange(4, 7))) for _ in range(2)]
+        b = [w[: (at := rng.randrange(len(w)))] + rng.choice(sorted(arabic)) + w[at + 1 :] for w in a]
+        left, right = ["".join(c + "a" for c in w) for w in a], [write(w) for w in b]
+        x, y = (matching.shingles([form(w) for w in side]) for side in (left, right))
+        if 0.2 <= len(x & y) / len(x | y) <= 0.3:
+            total += 1
+            met += bool(set(matching.name_keys(left, [], "l")) & set(matching.name_keys(right, [], "r")))
+    assert met / total >= 0.9
+
+
 def test_sources_are_matched(spark):
     import random
 
