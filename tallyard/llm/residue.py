@@ -148,7 +148,8 @@ TRIGGERS = frozenset(
     database sql mysql connection server gateway unavailable timeout timed time out found longer moved removed
     deleted suspended disabled exist exists requested looking session token log login sign checking verifying validating
     moment attention wait ddos human robot redirecting redirected loading construction maintenance coming sale parked
-    went occurred occured mod_security stack many available expired
+    went occurred occured mod stack many available expired allowed acceptable implemented unprocessable restricted
+    permission permissions insufficient access right rights privilege privileges signin t trying link invalid ended db reset
     javascript java js script scripts scripting cookie cookies browser
     lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore aliqua veniam nostrud
     exercitation ullamco laboris nisi aliquip commodo consequat aute irure velit cillum fugiat pariatur excepteur occaecat
@@ -157,7 +158,7 @@ TRIGGERS = frozenset(
     sample dummy example placeholder filler default untitled tbd tba todo just some demo standard generic mock fake
     enter add type write insert put provide fill paste describe edit update change replace tell here below follow missing
     set specified entered english arabic en ar optional required name number title description my new click
-    undefined null nan none nil object void ref value na
+    undefined null nan none nil object void ref value na n unknown your provided added max
     page nicht non sayfa pagina accès acceso zugriff erişim erreur fehler hata ошибка страница seite página
     """.split()
 )

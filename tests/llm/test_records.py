@@ -152,6 +152,29 @@ def test_residue(field, value, expected):
     assert residue.Reader(set()).residual(field, value) is expected
 
 
+# One example at least of each alternative of WHOLE, in its order.
+WHOLE_EXAMPLES = [
+    ["HTTP 404"], ["Error 404", "405 Method Not Allowed", "406 Not Acceptable", "501 Not Implemented", "422 Unprocessable Entity", "410 Gone"],
+    ["Method not allowed", "Not acceptable", "Not implemented", "Unprocessable entity"], ["Unexpected error", "Runtime exception"], ["Oops, something broke"],
+    ["Something went wrong"], ["Warning: undefined variable on line 3"], ["Can't display profile", "Unable to open it"], ["DB reset", "Network error"],
+    ["The site you are trying to reach is gone", "This listing has been removed"], ["Page expired"], ["Access restricted", "Access denied"],
+    ["Insufficient permissions", "You do not have permission", "You don't have access", "Insufficient rights"], ["Your session has ended", "Link is invalid"], ["Signin required", "Login required"],
+    ["Verifying your browser"], ["Just a moment"], ["This takes a few seconds"], ["Loading"], ["Timed out"], ["Request failed", "Blocked by mod_security here"],
+    ["Under construction"], ["Please enable JavaScript"], ["JavaScript is disabled"], ["Cookies required"], ["Scripts are required"], ["Your browser is outdated"],
+    ["Lorem ipsum"], ["asdfgh"], ["Your company profile", "Sample text"], ["Enter description"], ["Write something here"], ["Profile to be added", "Profile not provided"], ["Profile (max 500)"],
+    ["Name of your business"], ["My company"], ["Please replace me"], ["Unknown", "N/A", "None"], ["undefined", "#N/A"], ["يرجى تفعيل جافا"], ["جافا سكربت معطل"],
+    ["الصفحة غير موجودة"], ["حدث خطأ"], ["أدخل النص"], ["Bitte JavaScript aktivieren"], ["Seite nicht gefunden", "Erreur 404"],
+]
+
+
+def test_the_gate_passes_an_example_of_each_alternative():
+    for i, found in enumerate(WHOLE_EXAMPLES):
+        for x in found:
+            assert residue.residual_piece(x), (i, x)
+            assert residue.Reader(set()).residual("name_en", x), (i, x)
+            assert residue.Reader(set()).residual("description_en", f"Acme builds pumps.\n{x}"), (i, x)
+
+
 def test_left_over_slots_reach_unknown_syntaxes(spark):
     rows = [{"pos": i, "description_en": f"Call {{{{ v{i} }}}} for prices. We sell pumps to towns."} for i in range(60)]
     rows += [{"pos": 100, "description_en": "Call :phone: for prices. We sell pumps to towns."}, {"pos": 101, "description_en": "We sell pumps to towns."}, {"pos": 102}, {"pos": 103, "phone": "05XXXXXXXX", "name_en": "{name}"}, {"pos": 103, "phone": "05XXXXXXXX"}]
