@@ -191,10 +191,10 @@ class Matcher:
             self._known[key] = self.trie.search(text, k)
         return self._known[key]
 
-    def find(self, value: str) -> list[tuple[int, int, int]]:
-        """All (entry, letters of the window, edits) within the distance, best first."""
+    def find(self, value: str, every: bool = False) -> list[tuple[int, int, int]]:
+        """(entry, letters of the window, edits) within the distance, best first: of ``every`` entry, or as far as the best needs."""
         whole = self.whole.get(value.strip().casefold())
-        if whole is not None:
+        if whole is not None and not every:
             return [(whole, len(value), 0)]
         words = [
             w if any(c.isalpha() for c in w) and w.rstrip(".") not in COUNTRY_WORDS else "" for w in words_of(value)
@@ -215,13 +215,15 @@ class Matcher:
         enough = 0  # a shorter window with more edits can't be the best any more
         for k in range(3):
             for letters, plain, text in sorted(windows):
-                if k > allowance(letters) or 2 * (letters - 2 * k) + plain <= enough:
+                if k > allowance(letters) or (not every and 2 * (letters - 2 * k) + plain <= enough):
                     continue
                 for entry, edits in self._window(text, k).items():
                     scored = (2 * (letters - 2 * edits) + plain, -edits, letters)
                     if entry not in found or found[entry] < scored:
                         found[entry] = scored
             enough = max([enough, *(x[0] for x in found.values())])
+        if whole is not None:
+            found[whole] = (2 * len(value) + 1, 0, len(value))
         ranked = sorted(found.items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))
         return [(entry, letters, -edits) for entry, (_, edits, letters) in ranked]
 
@@ -302,7 +304,7 @@ def entries_within_distance(values: DataFrame, reference: DataFrame, column: str
         if not made:
             made.append(Matcher(shipped.value))
         kind = pa.list_(pa.struct([("ref_id", pa.string()), ("letters", pa.int32()), ("edits", pa.int32())]))
-        rows = [[(made[0].ids[e], n, d) for e, n, d in made[0].find(t)] if t else [] for t in texts.to_pylist()]
+        rows = [[(made[0].ids[e], n, d) for e, n, d in made[0].find(t, every=True)] if t else [] for t in texts.to_pylist()]
         return pa.array([[dict(zip(("ref_id", "letters", "edits"), x)) for x in r] for r in rows], kind)
 
     out = values.select(column, F.explode_outer(every(F.col(column))).alias("m"))

@@ -38,6 +38,18 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry within the distance of each typed city and category."""
+    items = canonical.typed_items(table(spark, d, "parsed_company")).select("field_name", "value").distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = None
+    for field, name in (("city", "canonical_city"), ("categories", "canonical_category")):
+        values = items.filter(F.col("field_name") == field).select("value").repartition(parts, "value")
+        found = canonical.entries_within_distance(values, table(spark, d, name)).select(F.lit(field).alias("field_name"), "*")
+        out = found if out is None else out.union(found)
+    return out.filter("ref_id is not null")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = survivor.surviving_values(table(spark, d, "duplicate_group"), table(spark, d, "company"))
     return found.select("group_id", "field_name", "company_id")

@@ -115,6 +115,20 @@ def test_automaton_finds_all_within_the_distance(words, text, k):
     assert trie.search(text, k) == expected
 
 
+@settings(max_examples=200, deadline=None)
+@given(names_=st.lists(st.text(alphabet="bcd", min_size=4, max_size=9), min_size=1, max_size=6), text=st.text(alphabet="bcd", min_size=4, max_size=10))
+def test_all_entries_within_the_distance_are_found(names_, text):
+    found = canonical.Matcher([(f"e{i}", [x]) for i, x in enumerate(names_)]).find(text, every=True)
+    expected = {i: osa(text, x) for i, x in enumerate(names_) if osa(text, x) <= canonical.allowance(len(text))}
+    assert {e: d for e, _, d in found} == expected
+
+
+def test_neighbours_of_an_exact_value(spark):
+    ref = spark.createDataFrame([("1", "Qatasaaz", None, None), ("2", "Qatasaan", None, None), ("3", "Bareef", None, None)], "id string, name_en string, name_ar string, slug string")
+    got = canonical.entries_within_distance(spark.createDataFrame([("Qatasaaz",)], "value string"), ref).collect()
+    assert {(r.ref_id, r.edits) for r in got} == {("1", 0), ("2", 1)}
+
+
 def test_mapping_with_edges(spark):
     ref = "id string, region_id string, name_en string, name_ar string, slug string"
     cities = spark.createDataFrame([("3", "1", "Qatasaaz", "قتساز", "qatasaaz"), ("5", None, None, None, None)], ref)
