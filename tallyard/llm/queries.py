@@ -79,6 +79,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "parsed_company"))
 
 
+def p7_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """How many values each path of the method finds first: a left-over slot, a repeated page, a wording."""
+    found = residue.residue_reasons(table(spark, d, "parsed_company"))
+    return found.groupBy("field_name", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, d, "documents"))
 

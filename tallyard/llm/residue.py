@@ -1,30 +1,43 @@
 """Problem 7: template residue, filler, error pages and script notices.
 
-Values are cut into pieces (lines and sentences, mark-up stripped). Words that many rows share are a piece's constants;
-the runs between them are its slots, so records made from one template align on the same constants. A slot is left over
-when it holds a variable name, a default or a blank; a template whose slot mostly holds such values marks every other
-content of that slot too. A piece that wholly is an error page, a script notice or filler marks its value as well.
-
-Two passes over the three columns: one counts words (combined on the map side; frequent words are at most the words of an
-average row divided by ``WORD_SHARE``, whatever the size), one builds templates. Slot statistics are aggregated by hash,
-and only the slots found left over are broadcast (each needs ``SLOT_SUPPORT`` rows or more).
+Values are cut into pieces (lines and sentences, mark-up stripped), and the pieces of all three columns are aligned: words
+that many values share are a template's constants, and what lies between them (the record's own name and place, numbers,
+links, rare words, unfilled variables) its slots. A value is residue when
+
+1. a slot retains a variable's name (``VARIABLE``), a default such as lorem ipsum or ``undefined`` (``DEFAULT``) or a blank,
+   that is a mask or run of digits in place of a telephone number (``BLANK``);
+2. it holds a template whose slot mostly holds such content (``SLOT``);
+3. it is a whole-page template repeated over unrelated sites (``PAGE``): a template most of whose values are that one page
+   and nothing else, or whose pages never say anything of their record. Contents mix freely and name their company;
+4. for names and telephones, it is a form without a number that unrelated sites have in common, or such a page (``PAGE``);
+5. one of its pieces is worded like an error, a notice or a default (``PHRASE``): this reaches what is too rare to repeat.
+
+``reason`` tells which of these found a value first. Text is read once, in one Arrow pass that leaves hashes behind; every
+statistic is a share with a confidence bound, so it means the same at every size. Pages are counted once a site.
 """
 
 from __future__ import annotations
 
-import html
 import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-
-#: Share of rows a word must be in to be a constant of templates.
-WORD_SHARE = 0.0005
-#: Rows a slot needs, and the share of them that must hold residue, for the slot to be left over.
-SLOT_SUPPORT, SLOT_SHARE = 20, 0.8
+from ..session import lookup_join, materialise
+
+#: Share of the values (and least number of them) a word must be in to be a constant of templates.
+WORD_SHARE, WORD_LEAST = 0.0002, 20
+#: Least share of a template's pages that are one whole page, and most that speak of their record (bounds of confidence).
+PAGE_SHARE, OWN_SHARE = 0.3, 0.1
+#: Most of a template's pieces that may themselves hold the record's name or place; rows a site may have of one.
+OWN_PIECES, SITE_ROWS = 0.2, 5.0
+#: Least share of a name's or telephone's rows that lie on sites of their own.
+UNRELATED = 0.7
+#: Sites that must share a form, and share of its slots that must hold residue for the others to be residue as well.
+SUPPORT, SLOT_SHARE = 15, 0.8
+#: Reasons, in the order in which they are looked for.
+VARIABLE, DEFAULT, BLANK, SLOT, PAGE, PHRASE = "variable", "default", "blank", "slot", "page", "phrase"
 
 FIELDS = ("description_en", "phone", "name_en")
 
@@ -72,6 +85,17 @@ _HTTP_TEXT = (
     r"web server is down|connection timed out|unprocessable entity|error)"
 )
 
+# Words of filler and of programs that stand where content should be; joiners between them.
+DEFAULTS = frozenset(
+    """
+    lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim
+    minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure velit esse
+    cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit laborum
+    test tests testing asdf asdfg asdfgh qwerty qwertz zxcv foobar blah undefined null nan untitled
+    """.split()
+)
+JOINERS = frozenset("in and at of tel phone mobile object ut et ad ex ea do non id qui est anim co ltd est company inc text".split())
+
 #: What a whole piece looks like when it is an error message, a notice or filler. Pieces are lower case, without wrappers.
 WHOLE = re.compile(
     "|".join(
@@ -134,8 +158,9 @@ WHOLE = re.compile(
 
 _TAG = re.compile(r"</?(?:p|h[1-6]|div|span|br|hr|b|i|strong|em|li|ul|ol|a|font|center|body|html)\b[^<>]*>", re.I)
 _CUT = re.compile(r"\n+|(?<=[.!?؟])(?<!\bco\.)(?<!\bltd\.)(?<!\bno\.)(?<!\best\.)(?<!\bgrp\.)(?<!\bf[ac]ct\.)\s+(?=[^\s\d(])|\s[|»›]\s", re.I)
-_LEAD = re.compile(r"^[\s>*\-•·(\[\"'«“:;,.|]+")
-_TAIL = re.compile(r"[\s<*\-•·)\]\"'»”:;,.!…|]+$")
+_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_LEAD = _BLANKS + ">*-•·([\"'«“:;,.|"
+_TAIL = _BLANKS + "<*-•·)]\"'»”:;,.!…|"
 _SIGNATURE = re.compile(r"\s*\(ref \w+\)\W*$|\s*(?:copyright|©|\(c\))\s*(?:©\s*)?(?:19|20)\d\d\W*$", re.I)
 #: Signs without which there is no placeholder.
 _SIGNS = re.compile(r"[{\[<%@_&$~*|]|(?i:insert)")
@@ -178,15 +203,16 @@ def pieces(value: str, whole: bool = False, wanted=None) -> list[str]:
     for part in [t] if whole else _CUT.split(t):
         if wanted and (words := _WORDS.findall(part.lower())) and not wanted(words):
             continue
-        part = _SIGNATURE.sub("", part)
-        part = _SPACE.sub(" ", _TAIL.sub("", _LEAD.sub("", part)))
+        if "(" in part or "©" in part or "opyright" in part or "OPYRIGHT" in part:
+            part = _SIGNATURE.sub("", part)
+        part = " ".join(part.lstrip(_LEAD).rstrip(_TAIL).split())
         if part:
             out.append(part)
     return out
 
 
 def _bare(piece: str) -> str:
-    return _TAIL.sub("", _LEAD.sub("", _TITLE_LEAD.sub("", piece))).lower()
+    return _TITLE_LEAD.sub("", piece).lstrip(_LEAD).rstrip(_TAIL).lower()
 
 
 def mask_phone(value: str) -> bool:
@@ -213,35 +239,58 @@ def residual_piece(piece: str) -> bool:
     return WHOLE.fullmatch(_bare(piece)) is not None
 
 
-def slots_of(piece: str, constants: frozenset[str] | set[str]) -> tuple[str, list[str]]:
-    """Template of a piece (its constants in order, ``*`` for what lies between) and the content of its slots."""
-    template, slots, end = [], [], 0
-    variables = PLACEHOLDER.finditer(piece) if _SIGNS.search(piece) else iter(())
-    variable = next(variables, None)
-    for m in _WORDS.finditer(piece):
-        while variable and variable.end() <= m.start():
-            variable = next(variables, None)
-        if variable and variable.start() <= m.start():
+_TOKEN = re.compile(r"[^\s()'\"<>]*[./][^\s()'\"<>]*[^\W_][^\s()'\"<>]*|[^\W\d_]+|\d+")
+_NUMBERED = re.compile(r"\d")
+
+
+def template_of(piece: str, constants, own: frozenset[str] | set[str], around: frozenset[str] | set[str]) -> tuple[str, bool]:
+    """Template of a piece, ``*`` and ``#`` for its slots, and whether it speaks of its record.
+
+    ``own``: words that belong to the record alone; ``around``: words that go with them where they stand beside one.
+    Pieces with fewer than two constants are kept literally, but for numbers, links and the record's own words; those
+    that are nothing but slots wholly so, since they have nothing in common.
+    """
+    words = _TOKEN.findall(piece.lower())
+    mine = [False] * len(words)
+    owned = bool(own) and not own.isdisjoint(words)
+    if owned:
+        mine = [w in own for w in words]
+        for i in range(1, len(words)):
+            mine[i] = mine[i] or (mine[i - 1] and words[i] in around)
+        for i in range(len(words) - 2, -1, -1):
+            mine[i] = mine[i] or (mine[i + 1] and words[i] in around)
+    align = sum(w in constants for w, m in zip(words, mine) if not m) >= 2
+    out: list[str] = []
+    for w, m in zip(words, mine):
+        if m or "/" in w or "." in w:
+            slot = "*"
+        elif w.isdigit():
+            slot = "*" if align else "#"
+        elif align and w not in constants:
+            slot = "*"
+        else:
+            out.append(w)
             continue
-        word = m[0].lower()
-        if word in constants:
-            between = piece[end : m.start()].strip()
-            if between:
-                template.append("*")
-                slots.append(between)
-            template.append(word)
-            end = m.end()
-    rest = piece[end:].strip()
-    if rest:
-        template.append("*")
-        slots.append(rest)
-    return " ".join(template), slots
+        if out and out[-1] in ("*", "#"):
+            out[-1] = slot if out[-1] == slot else "*"
+        else:
+            out.append(slot)
+    text = " ".join(out)
+    return text if text.strip("*# ") else piece.lower(), owned
+
+
+def filler(words: list[str]) -> bool:
+    """Whether a whole piece consists of defaults and what joins them, or of one short word again and again."""
+    held = DEFAULTS.intersection(words)
+    if held and all(w in held or w in JOINERS for w in words):
+        return True
+    return len(words) > 2 and len(set(words)) == 1
 
 
 def _hash(text: str) -> int:
     import xxhash
 
-    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 #: Beginnings (four letters) of words typed to fill a field.
@@ -255,13 +304,17 @@ def judgeable(words: list[str]) -> bool:
     return any(w[0] > "\u05ff" and w[0] <= "\u06ff" for w in words) or not FILL_STARTS.isdisjoint([w[:4] for w in words])
 
 
+#: Bits of a form's hash: the piece speaks of its record; one of its slots holds residue.
+OWN, LEFT = 1, 2
+_NUMBER = re.compile(r"(?:\d[\s().\-/]*){7,}")
+
+
 class Reader:
-    """Reads values for one worker: judges pieces with a memory of those already seen."""
+    """Reads values for one worker: aligns their pieces and judges them, with a memory of those already seen."""
 
-    def __init__(self, constants: set[str], left_over: dict[int, tuple[frozenset[str], set[int]]] | None = None) -> None:
-        """``left_over``: for the hash of a template its constants and the numbers of its slots that are left over."""
-        self.constants, self.left_over = constants, left_over or {}
-        self._rarest = frozenset(max(words, key=len) for words, _ in self.left_over.values() if words)
+    def __init__(self, constants: set[str] | frozenset[str], phrases: bool = True) -> None:
+        """``phrases``: whether wordings are looked for beside slots and repeated pages."""
+        self.constants, self.phrases = constants, phrases
         self._seen: dict[str, bool] = {}
 
     def _judged(self, piece: str) -> bool:
@@ -272,117 +325,192 @@ class Reader:
             self._seen[key] = residual_piece(piece)
         return self._seen[key]
 
-    def templates(self, value: str) -> list[tuple[int, str, list[str]]]:
-        """Hash, template and slots of the pieces that have two constants or more and a slot."""
-        out = []
-        for piece in pieces(value):
-            template, slots = slots_of(piece, self.constants)
-            if slots and template.count(" ") - len(slots) >= 1:
-                out.append((_hash(template), template, slots))
-        return out
-
-    def residual(self, field: str, value: str) -> bool:
-        if _SIGNS.search(value) and placeholder(value):
-            return True
-        lower = value.lower()
-        words = _WORDS.findall(lower)
-        if field == "phone":
-            if mask_phone(value):
-                return True
-            if words and WHOLE.fullmatch(re.sub(r"^(?:tel|phone|mobile|fax)\s*[:.]\s*", "", _bare(value.strip()))):
+    def worded(self, field: str, value: str) -> bool:
+        """Whether a piece of a value is worded like an error, a notice or a default."""
+        words = _WORDS.findall(value.lower())
+        if field == "phone" and words:
+            if WHOLE.fullmatch(re.sub(r"^(?:tel|phone|mobile|fax)\s*[:.]\s*", "", _bare(value.strip()))):
                 return True
-        whole = field != "description_en"
         if judgeable(words) or (not words and not any(map(str.isdigit, value))):
-            parts = pieces(value, whole, judgeable)
+            parts = pieces(value, field != "description_en", judgeable)
             if any(self._judged(p) for p in parts):
                 return True
-            if len(parts) < 4 and "\n" in value and residual_piece(_SPACE.sub(" ", value.strip())):
-                return True
-        if not whole and not self._rarest.isdisjoint(words):
-            for h, _, slots in self.templates(value):
-                if h in self.left_over:
-                    return True
+            return len(parts) < 4 and "\n" in value and residual_piece(_SPACE.sub(" ", value.strip()))
         return False
 
+    def read(
+        self, field: str, value: str, name: str | None = None, place: str | None = None
+    ) -> tuple[str | None, list[int], bool | None]:
+        """Reason that the value gives by itself, the hashes of its templates (with the bits ``OWN`` and ``LEFT``), and
+        whether it speaks of its record: null where the record's name has no words of its own.
+
+        Telephones with a number have no templates: a form only says something where the number is missing.
+        """
+        whole = field != "description_en"
+        variable = bool(_SIGNS.search(value)) and placeholder(value)
+        reason = VARIABLE if variable else BLANK if field == "phone" and mask_phone(value) else None
+        own: set[str] = set()
+        around: set[str] = set()
+        named = False
+        if not whole:
+            around = set(_WORDS.findall((name or "").lower()))
+            own = {w for w in around if len(w) > 3 and w not in self.constants}
+            named = bool(own)
+            own |= {w for w in _WORDS.findall((place or "").lower()) if len(w) > 3}
+        forms: list[int] = []
+        for piece in pieces(value, whole):
+            left = variable and _SIGNS.search(piece) and placeholder(piece)
+            if left:
+                piece = PLACEHOLDER.sub(" 0 ", piece)
+            text, owned = template_of(piece, () if whole else self.constants, own, around)
+            if not left and reason is None and filler(_WORDS.findall(piece.lower())):
+                reason, left = DEFAULT, True
+            forms.append((_hash(text) & ~3) | (OWN if owned else 0) | (LEFT if left else 0))
+        if field == "phone" and _NUMBER.search(value) and reason is None:
+            forms = []
+        if reason is None and self.phrases and self.worded(field, value):
+            reason = PHRASE
+        speaks = any(h & OWN for h in forms)
+        return reason, forms, speaks if named or speaks else None
+
+    def residual(self, field: str, value: str) -> bool:
+        """Whether a value is residue by itself, without what other rows say."""
+        return self.read(field, value)[0] is not None
+
 
 def frequent_words(values: DataFrame, share: float = WORD_SHARE) -> set[str]:
-    """Words in at least ``share`` of the rows of ``values`` (column ``value``), never fewer than 20 rows."""
+    """Words in at least ``share`` of the rows of ``values`` (column ``value``), never fewer than ``WORD_LEAST`` rows.
+
+    They are at most the words of an average value divided by ``share``.
+    """
     words = F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("value", r"[^\p{L}]+", " ")), " ")))
-    rows = values.count()
     counted = values.select(words.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    least = max(SLOT_SUPPORT, int(rows * share))
+    least = max(WORD_LEAST, int(values.count() * share))
     return {r[0] for r in counted.filter((F.col("n") >= least) & (F.col("w") != "")).select("w").collect()}
 
 
-def left_over_slots(
-    values: DataFrame, constants, share: float = WORD_SHARE
-) -> dict[int, tuple[frozenset[str], set[int]]]:
-    """Templates with slots that mostly hold residue: by hash their constants and the numbers of those slots.
+def bound(part: Column, whole: Column, upper: bool = False, z: float = 1.64) -> Column:
+    """Wilson's lower (or upper) bound of confidence of a share."""
+    p = part / whole
+    spread = z * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p) / whole + z * z / 4 / whole / whole))
+    middle = p + z * z / 2 / whole
+    return (middle + spread if upper else middle - spread) / (1 + z * z / whole)
 
-    First the slots that hold residue are counted (only values with signs of variables are aligned), then all rows of the
-    templates that have enough of them. Both counts combine on the map side; the templates kept have at least ``share``
-    of the rows each, so they are at most the pieces of an average row divided by ``share``.
-    """
-    least = max(SLOT_SUPPORT, int(values.count() * share))
-
-    def counted(wanted) -> Column:
-        made: list[Reader] = []
-
-        @F.arrow_udf("array<struct<h: bigint, slot: int, template: string>>")
-        def slots(texts: pa.Array) -> pa.Array:
-            if not made:
-                made.append(Reader(constants.value))
-            out = []
-            for t in texts.to_pylist():
-                row = []
-                if wanted is None:
-                    if t and _SIGNS.search(t) and placeholder(t):
-                        for h, template, held in made[0].templates(t):
-                            row += [(h, i, template) for i, x in enumerate(held) if placeholder(x)]
-                elif t:
-                    row = [(h, -1, None) for h, _, _ in made[0].templates(t) if h in wanted.value]
-                out.append([{"h": h, "slot": i, "template": x} for h, i, x in row])
-            kind = pa.list_(pa.struct([("h", pa.int64()), ("slot", pa.int32()), ("template", pa.string())]))
-            return pa.array(out, kind)
-
-        return slots(F.col("value"))
-
-    bad = values.select(F.explode(counted(None)).alias("s")).select("s.*").groupBy("h", "slot")
-    bad = bad.agg(F.count(F.lit(1)).alias("n"), F.min("template").alias("template"))
-    bad = bad.filter(F.col("n") >= least * SLOT_SHARE).collect()
-    if not bad:
-        return {}
-    wanted = values.sparkSession.sparkContext.broadcast({r["h"] for r in bad})
-    rows = values.select(F.explode(counted(wanted)).alias("s")).groupBy("s.h").count().collect()
-    total = {r[0]: r[1] for r in rows}
-    out: dict[int, tuple[frozenset[str], set[int]]] = {}
-    for r in bad:
-        n = total.get(r["h"], 0)
-        if n >= least and r["n"] >= n * SLOT_SHARE:
-            out.setdefault(r["h"], (frozenset(r["template"].split()) - {"*"}, set()))[1].add(r["slot"])
-    return out
 
+def read_listings(listings: DataFrame, key: str, fields: tuple[str, str, str], phrases: bool = True) -> DataFrame:
+    """``pos, field_name, site, reason, page, forms, speaks``: of every value what :meth:`Reader.read` says, and a hash of
+    its templates in order.
 
-def find_residue(listings: DataFrame, key: str = "pos", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """``pos, field_name`` of every value that holds an unfilled placeholder or is filler, residue, an error or a notice.
-
-    Null and blank values are no case; texts are read whole; repeated rows give one row; an empty table gives none; other
-    columns are not read.
+    ``site`` tells unrelated records apart: the host of the link, else the digits of the telephone; null without either.
     """
     spark = listings.sparkSession
-    texts = listings.select(F.col(fields[0]).alias("value")).filter(F.col("value").isNotNull())
-    constants = spark.sparkContext.broadcast(frequent_words(texts))
-    left_over = spark.sparkContext.broadcast(left_over_slots(texts, constants))
+    text, phone, name = fields
+    every = [F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields]
+    values = listings.select(F.explode(F.array(*every)).alias("v")).select("v.value").filter("value is not null")
+    # names of places are slots, however often they are written
+    places = listings.select(F.col("city").alias("value")).filter("value is not null") if "city" in listings.columns else None
+    constants = frequent_words(values) - (frequent_words(places) if places is not None else set())
+    constants = spark.sparkContext.broadcast(frozenset(constants))
     made: list[Reader] = []
 
-    @F.arrow_udf("boolean")
-    def residual(names: pa.Array, values: pa.Array) -> pa.Array:
+    @F.arrow_udf("array<struct<field_name: string, reason: string, page: bigint, forms: array<bigint>, speaks: boolean>>")
+    def read(texts: pa.Array, phones: pa.Array, names: pa.Array, places: pa.Array) -> pa.Array:
         if not made:
-            made.append(Reader(constants.value, left_over.value))
-        pairs = zip(names.to_pylist(), values.to_pylist())
-        return pa.array([bool(v) and made[0].residual(n, v) for n, v in pairs], pa.bool_())
-
-    items = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields)))
-    rows = listings.select(F.col(key).alias("pos"), items.alias("v")).select("pos", "v.field_name", "v.value")
-    rows = rows.filter(F.col("value").isNotNull())
-    return rows.filter(residual("field_name", "value")).select("pos", "field_name").distinct()
+            made.append(Reader(constants.value, phrases))
+        reader, out = made[0], []
+        for t, p, n, c in zip(*(x.to_pylist() for x in (texts, phones, names, places))):
+            row = []
+            for role, field, value in zip(FIELDS, fields, (t, p, n)):
+                if not value or value.isspace():
+                    continue
+                reason, forms, speaks = reader.read(role, value, n, c)
+                if reason or forms:
+                    page = _hash(",".join(str(h & ~3) for h in forms)) if len(forms) != 1 else forms[0] & ~3
+                    row.append((field, reason, page - (1 << 63), [h - (1 << 63) for h in forms], speaks))
+            out.append(row)
+        kinds = {"field_name": pa.string(), "reason": pa.string(), "page": pa.int64(), "forms": pa.list_(pa.int64()), "speaks": pa.bool_()}
+        return pa.array([[dict(zip(kinds, x)) for x in r] for r in out], pa.list_(pa.struct(list(kinds.items()))))
+
+    place = F.col("city") if "city" in listings.columns else F.lit(None).cast("string")
+    link = F.lower("website_url") if "website_url" in listings.columns else F.lit(None).cast("string")
+    host = F.nullif(F.regexp_extract(link, r"^\s*(?:https?:)?(?://)?(?:www\.)?([^/\s:?#]+)", 1), F.lit(""))
+    digits = F.regexp_replace(F.col(phone), r"\D+", "")
+    site = F.xxhash64(F.coalesce(host, F.when(F.length(digits) >= 7, F.substring(digits, -9, 9))))
+    known = host.isNotNull() | (F.length(digits) >= 7)
+    rows = listings.select(F.col(key).alias("pos"), F.when(known, site).alias("site"), F.explode(read(text, phone, name, place)).alias("r"))
+    return rows.select("pos", "site", "r.*")
+
+
+def repeated_pages(read: DataFrame, fields: tuple[str, str, str] = FIELDS) -> DataFrame:
+    """``field_name, page, n, reason``: the pages of :func:`read_listings` that hold a repeated or left-over template.
+
+    Pages are counted once a site; sites and pages are hashes, and both counts combine on the map side.
+    """
+    text, phone, name = fields
+    once = read.groupBy("field_name", "page", "site").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("forms").alias("forms"), F.max("speaks").alias("speaks")
+    )
+    here = F.col("site").isNotNull()
+    pages = once.groupBy("field_name", "page").agg(
+        F.count("site").alias("sites"),
+        F.count_if(here & F.col("speaks").isNotNull()).alias("named"),
+        F.count_if(here & F.col("speaks")).alias("speaking"),
+        F.sum(F.when(here, F.col("rows"))).alias("known"),
+        F.sum("rows").alias("n"),
+        F.max("forms").alias("forms"),
+    )
+    pages = materialise(pages)
+    left = F.exists("forms", lambda h: h.bitwiseAND(F.lit(LEFT)) != 0)  # judged by its slot; no evidence against the rest
+    forms = pages.filter((F.col("field_name") == text) & (F.col("sites") > 0))
+    forms = forms.withColumn("alike", F.when(~left, F.col("sites")).otherwise(0)).withColumn("named", F.when(~left, F.col("named")).otherwise(0))
+    forms = forms.select("sites", "known", "named", "speaking", "alike", F.explode(F.array_distinct("forms")).alias("h"))
+    bits = F.col("h").bitwiseAND(F.lit(3))
+    weighed = forms.groupBy(F.col("h").bitwiseAND(F.lit(~3)).alias("h")).agg(
+        F.sum("sites").alias("sites"),
+        F.max("alike").alias("one_page"),
+        F.sum("known").alias("known"),
+        F.sum("named").alias("named"),
+        F.sum(F.when(F.col("named") > 0, F.col("speaking")).otherwise(0)).alias("speaking"),
+        F.sum(F.when(bits.bitwiseAND(F.lit(OWN)) != 0, F.col("sites")).otherwise(0)).alias("own"),
+        F.sum(F.when(bits.bitwiseAND(F.lit(LEFT)) != 0, F.col("sites")).otherwise(0)).alias("left"),
+    )
+    sites = F.col("sites")
+    silent = (F.col("named") > 0) & (bound(F.col("speaking"), F.greatest(F.lit(1), "named"), upper=True) <= OWN_SHARE)
+    whole_page = (bound(F.col("one_page"), sites) >= PAGE_SHARE) | silent
+    page = (F.col("own") <= OWN_PIECES * sites) & (F.col("known") <= SITE_ROWS * sites) & whole_page
+    slot = F.col("left") >= SLOT_SHARE * sites
+    judged = weighed.filter(sites >= SUPPORT).select("h", F.when(slot, SLOT).when(page, PAGE).alias("why")).filter("why is not null")
+    # names and telephones: forms that sites without anything in common share, or that are pages of the text column
+    short = pages.filter(F.col("field_name") != text)
+    shared = short.filter((F.col("sites") >= SUPPORT) & (bound(F.col("sites"), F.col("known")) >= UNRELATED))
+    telephone = shared.filter(F.col("field_name") == phone).select(F.col("page").alias("h"))
+    whys = judged.union(telephone.select("h", F.lit(PAGE).alias("why"))).groupBy("h").agg(F.max("why").alias("why"))
+    held = pages.select("field_name", "page", "n", F.explode("forms").alias("h")).withColumn("h", F.col("h").bitwiseAND(F.lit(~3)))
+    found = held.join(whys, "h").select("field_name", "page", "n", "why")
+    found = found.union(shared.select("field_name", "page", "n", F.lit(PAGE).alias("why")))
+    return found.groupBy("field_name", "page").agg(F.max("n").alias("n"), F.max("why").alias("repeated"))
+
+
+def residue_reasons(
+    listings: DataFrame, key: str = "pos", fields: tuple[str, str, str] = FIELDS, phrases: bool = True, hot_rows: int = 200_000
+) -> DataFrame:
+    """``pos, field_name, reason`` of every residual value (see the module); ``fields``: text, telephone and name.
+
+    Null and blank values are no case; texts are read whole; repeated rows give one row; an empty table gives none. Beside
+    the three columns, ``website_url`` and ``city`` are read where the table has them.
+    """
+    read = materialise(read_listings(listings, key, fields, phrases))
+    pages = materialise(repeated_pages(read, fields))
+    joined = lookup_join(read.select("pos", "field_name", "page", "reason"), pages, ["field_name", "page"], "n", hot_rows, "left")
+    by_itself = F.when(F.col("reason") != PHRASE, F.col("reason"))
+    why = F.coalesce(by_itself, F.col("repeated"), F.col("reason"))
+    found = joined.select("pos", "field_name", why.alias("reason")).filter("reason is not null")
+    return found.groupBy("pos", "field_name").agg(F.min("reason").alias("reason"))
+
+
+def find_residue(listings: DataFrame, key: str = "pos", fields: tuple[str, str, str] = FIELDS, phrases: bool = True) -> DataFrame:
+    """``pos, field_name`` of every value that holds an unfilled placeholder or is filler, residue, an error or a notice.
+
+    The edge cases are those of :func:`residue_reasons`.
+    """
+    return residue_reasons(listings, key, fields, phrases).select("pos", "field_name")

@@ -190,12 +190,49 @@ def test_the_gate_passes_an_example_of_each_alternative():
 
 
 def test_left_over_slots_reach_unknown_syntaxes(spark):
-    rows = [{"pos": i, "description_en": f"Call {{{{ v{i} }}}} for prices. We sell pumps to towns."} for i in range(60)]
-    rows += [{"pos": 100, "description_en": "Call :phone: for prices. We sell pumps to towns."}, {"pos": 101, "description_en": "We sell pumps to towns."}, {"pos": 102}, {"pos": 103, "phone": "05XXXXXXXX", "name_en": "{name}"}, {"pos": 103, "phone": "05XXXXXXXX"}]
-    got = [tuple(r) for r in residue.find_residue(listing(spark, rows)).collect()]
-    assert set(got) == {(i, "description_en") for i in [*range(60), 100]} | {(103, "phone"), (103, "name_en")}
-    assert len(got) == len(set(got))
-    assert residue.find_residue(listing(spark, [])).collect() == []
+    site = lambda i: f"http://firm{i}.test"
+    rows = [{"pos": i, "website_url": site(i), "description_en": f"Call {{{{ v{i} }}}} for prices. We sell pumps to towns."} for i in range(60)]
+    rows += [{"pos": 100, "website_url": site(100), "description_en": "Call :phone: for prices. We sell pumps to towns."}, {"pos": 101, "website_url": site(101), "description_en": "We sell pumps to towns."}]
+    rows += [{"pos": 102}, {"pos": 103, "phone": "05XXXXXXXX", "name_en": "{name}"}, {"pos": 103, "phone": "05XXXXXXXX"}]
+    got = {tuple(r) for r in residue.residue_reasons(listing(spark, rows)).collect()}
+    assert {r[:2] for r in got} == {(i, "description_en") for i in [*range(60), 100]} | {(103, "phone"), (103, "name_en")}
+    assert (100, "description_en", "slot") in got and (103, "phone", "blank") in got and (0, "description_en", "variable") in got
+    found = residue.find_residue(listing(spark, rows)).collect()
+    assert len(found) == len(set(found)) and residue.find_residue(listing(spark, [])).collect() == []
+
+
+PAGES = ["The gate to this shelf is shut for today", "Kindly switch the lamp on to look at this shelf", "This shelf has been emptied by its keeper. Knock at the desk for %s", "القفل مغلق اليوم"]
+
+
+def test_repeated_pages_are_found_without_any_phrase(spark, monkeypatch):
+    """Made-up notices in words that no pattern knows; contents mix and speak of their company, copies of one stay one."""
+    import random
+    import re as regex
+
+    monkeypatch.setattr(residue, "WHOLE", regex.compile(r"(?!)"))
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bdfjklmnrstz") + rng.choice("aiu") for _ in range(4))
+    facts = [f"We keep {a} for {b} of the coast" for a in ("ropes", "lamps", "doors", "tiles", "locks", "rails") for b in ("dealers", "builders", "fishers", "farmers")]
+    rows, want = [], set()
+    for i in range(900):
+        name = f"{word()} {word()} trading"
+        row = {"pos": i, "name_en": name, "website_url": f"http://{word()}{i}.test/", "phone": f"011 {rng.randrange(10**6, 10**7)}"}
+        row["description_en"] = ". ".join([f"{name} serves the coast"] * (rng.random() < 0.6) + rng.sample(facts, rng.randint(1, 3))) + "."
+        if i % 7 == 0:
+            page = PAGES[i // 7 % 4]
+            row["description_en"] = page % name if "%" in page else page
+            want.add((i, "description_en"))
+        if i % 11 == 0:
+            row["phone"] = "behind the red curtain"
+            want.add((i, "phone"))
+        if i % 13 == 0:
+            row["name_en"] = "Shelf of the house"
+            want.add((i, "name_en"))
+        rows.append(row)
+    rows += [{"pos": 5000 + i, "name_en": "Kabir Dunlas trading", "website_url": f"http://kabir.test/{i}", "description_en": "One more shop on the hill"} for i in range(300)]
+    got = {tuple(r) for r in residue.find_residue(listing(spark, rows), phrases=False).collect()}
+    extra = {(r["pos"], r["description_en"]) for r in rows if (r["pos"], "description_en") in got - want}
+    assert not extra and got == want
 
 
 # survivors
@@ -211,9 +248,24 @@ def test_usable_values():
     assert survivor.usable("email", "hello2@dazazaay-trans.com.example")
 
 
-def test_consensus_prefers_trust_and_existing_values():
-    assert survivor.consensus(["a b c", "a b d", "a b d"]) == 0
-    assert survivor.consensus(["x", "y z"]) == 0
+def test_two_nearly_as_trusted_beat_the_most_trusted():
+    t = lambda v: survivor.tokens_of("description_en", v)
+    texts = list(map(t, ["We make blue pumps", "We make green pumps", "We make green pumps today"]))
+    weight = lambda *c: [x**survivor.POWER for x in c]
+    assert survivor.consensus(texts, weight(0.8, 0.78, 0.77)) == 1
+    assert survivor.consensus(texts, weight(0.9, 0.6, 0.5)) == 0
+    assert survivor.consensus([["x"], ["y", "z"]], [1.0, 1.0]) == 0 and survivor.consensus([[]], [1.0]) == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from("abcd"), max_size=6), min_size=1, max_size=6), seed=st.integers(0, 9))
+def test_the_vote_does_not_depend_on_the_order(texts, seed):
+    import random
+
+    texts = [list(t) for t in {tuple(t) for t in texts}]
+    weights = [1.0 + 2.0**-i for i in range(len(texts))]
+    order = random.Random(seed).sample(range(len(texts)), len(texts))
+    assert order[survivor.consensus([texts[i] for i in order], [weights[i] for i in order])] == survivor.consensus(texts, weights)
 
 
 def test_survivors(spark):
@@ -235,13 +287,27 @@ def test_survivors(spark):
     assert survivor.surviving_values(groups.limit(0), frame).collect() == []
 
 
-def test_large_groups_are_decided_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(survivor, "CHUNK", 4)
-    n = 100
-    rows = [(f"c{i}", i, None, None, f"m{i}@x.example", i / n, datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i)) for i in range(n)]
-    frame = spark.createDataFrame(rows, "id string, pos long, description_en string, phone string, email string, confidence_score double, updated_at timestamp")
-    groups = spark.createDataFrame([("g", [f"c{i}" for i in range(n)])], "id string, company_ids array<string>")
-    assert [(r.field_name, r.company_id) for r in survivor.surviving_values(groups, frame).collect()] == [("email", f"c{n - 1}")]
+@pytest.mark.parametrize("hot_rows", [3, 10_000])
+def test_large_groups_are_decided_like_small_ones(spark, monkeypatch, hot_rows):
+    n, base = 70, datetime.datetime(2024, 1, 1)
+    column = "id string, pos long, description_en string, phone string, email string, confidence_score double, updated_at timestamp"
+    text = lambda i: f"We make {['blue', 'green'][i % 2]} pumps for {i % 5} towns and farm {i}"
+    rows = [(f"c{i}", i, text(i), f"011 {1000000 + i % 9}", f"m{i}@x.example", 0.5 + i / n / 2, base + datetime.timedelta(days=i)) for i in range(n)]
+    frame = spark.createDataFrame(rows, column)
+    ids = [f"c{i}" for i in range(n)]
+    groups = spark.createDataFrame([("g", ids), ("h", ids[:5]), ("i", ids[60:])], "id string, company_ids array<string>")
+    apart = {tuple(r) for r in survivor.surviving_values(groups, frame, hot_rows).collect()}
+    assert len(apart) == 9 and {r[0] for r in apart} == {"g", "h", "i"}
+    monkeypatch.setattr(survivor, "CHUNK", 1000)
+    assert {tuple(r) for r in survivor.surviving_values(groups, frame).collect()} == apart
+
+
+def test_cut_beginnings_of_any_length_meet_their_continuation(spark):
+    texts = ["We", "We make", "We make...", "We make …", "We make pumps for towns", "We make pumps for farms", "Other"]
+    frame = spark.createDataFrame([(f"c{i}", i, t, None, None, 0.5, None) for i, t in enumerate(texts)], "id string, pos long, description_en string, phone string, email string, confidence_score double, updated_at timestamp")
+    groups = spark.createDataFrame([("g", [f"c{i}" for i in range(7)]), ("h", ["c0", "c6"]), ("i", ["c2", "c3"])], "id string, company_ids array<string>")
+    kept = {(r.group_id, r.company_id) for r in survivor.group_values(groups, frame).collect()}
+    assert kept == {("g", "c4"), ("g", "c5"), ("g", "c6"), ("h", "c0"), ("h", "c6"), ("i", "c3")}
 
 
 # names
