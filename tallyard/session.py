@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import pathlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -20,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a session on one machine gets a folder of
+    its own; on a cluster that is an error, since a local folder isn't shared."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyard-ckpt-"))
     return context.getCheckpointDir()
 
@@ -75,6 +79,31 @@ def lookup_join(
     return hot_part.unionByName(rest.join(cold, keys, how), allowMissingColumns=True)
 
 
+def block_join(left: DataFrame, right: DataFrame, key: Sequence[str], left_id: str, right_id: str, block_rows: int = 2_000) -> DataFrame:
+    """Inner join of two tables on the key of a block, in tasks of even size whatever the size of a block.
+
+    A block with more than ``block_rows`` rows on a side is cut there into chunks of about so many; each chunk of one side
+    meets each of the other in a task of its own, so no pair is lost. ``left_id`` and ``right_id`` draw the chunks. Only the
+    keys of such blocks are broadcast, which are at most the rows divided by ``block_rows``.
+    """
+    key = list(key)
+    sizes = [x.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows) for x in (left, right)]
+    chunks = [x.select(*key, F.ceil(F.col("n") / block_rows).cast("int").alias(c)) for x, c in zip(sizes, ("lc", "rc"))]
+    hot = chunks[0].join(chunks[1], key, "full")
+    hot = materialise(hot.select(*key, F.coalesce("lc", F.lit(1)).alias("lc"), F.coalesce("rc", F.lit(1)).alias("rc")))
+    if hot.isEmpty():
+        return left.join(right, key)
+
+    def cut(rows: DataFrame, ident: str, own: str, other: str, of: str, by: str) -> DataFrame:
+        marked = rows.join(F.broadcast(hot), key, "left")
+        chunk = F.pmod(F.xxhash64(ident), F.coalesce(own, F.lit(1))).cast("int").alias(of)
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(by)
+        return marked.select(*rows.columns, chunk, every)
+
+    a, b = cut(left, left_id, "lc", "rc", "l", "r"), cut(right, right_id, "rc", "lc", "r", "l")
+    return a.join(b, [*key, "l", "r"]).drop("l", "r")
+
+
 def blank(c: Column) -> Column:
     """Null or empty after trimming every kind of white space."""
     return c.isNull() | (F.regexp_replace(c, r"[\s ﻿]+", "") == "")

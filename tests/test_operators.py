@@ -231,3 +231,15 @@ def test_page_cursor(spark):
     t = spark.createDataFrame([(f"u{i}", i) for i in (3, 1, 2)], "url string, place int")
     got = [(r.url, r.page_no, r.is_active, r.next_page) for r in query.page_cursor(t, "place", 9).orderBy("page_no").collect()]
     assert got == [("u1", 0, False, 1), ("u2", 1, False, 2), ("u3", 2, True, None)]
+
+
+@pytest.mark.parametrize("block_rows", [2, 5, 1000])
+def test_blocks_of_any_size_keep_all_pairs(spark, block_rows):
+    from tallyard.session import block_join
+
+    left = [(k, i) for k, n in (("hot", 17), ("b", 3), ("c", 1), (None, 4)) for i in range(n)]
+    right = [(k, i) for k, n in (("hot", 9), ("b", 1), ("d", 2), (None, 4)) for i in range(n)]
+    a, b = spark.createDataFrame(left, "k string, x int"), spark.createDataFrame(right, "k string, y int")
+    got = sorted(tuple(r) for r in block_join(a, b, ["k"], "x", "y", block_rows).collect())
+    assert got == sorted((k, x, y) for k, x in left for j, y in right if k == j and k)
+    assert block_join(a.limit(0), b, ["k"], "x", "y", block_rows).count() == 0
