@@ -3,10 +3,12 @@
 Words that stand beside many different words (legal forms, trades, given names and their abbreviations) say little; the
 rest of a name are its distinctive tokens. How often an organisation is listed doesn't matter for that. Each token is reduced to a consonant skeleton in which Latin and Arabic writings meet. The index
 is a symmetric-delete neighbourhood on the skeletons of two tokens of a name: rows that share a neighbourhood key are
-candidates, however their parts are ordered. Candidates are verified by an optimal assignment of their tokens, each pair
-compared in its own script or across scripts, permitting initials and abbreviations among the shared words.
+candidates, however their parts are ordered. Names with more than ``PAIRED`` tokens of a script are indexed by single tokens
+instead, which every other name is looked up in. Candidates are verified by an optimal assignment of all their tokens, each
+pair compared in its own script or across scripts: one name's tokens must all be found in the other, two of them at least,
+and an initial or an abbreviation in the other name stands for a token. Words of both that contradict each other part them.
 
-Rows with equal names are reduced to one representative first and expanded at the end.
+Rows with the same tokens are reduced to one representative first and expanded at the end.
 """
 
 from __future__ import annotations
@@ -14,18 +16,19 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import combinations, permutations
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import block_join, materialise
+from .pairs import expand_pairs
 
 #: Share of all partner words (and least number of them) beside which a word stands when it is shared rather than distinctive.
 SHARED_SHARE, SHARED_LEAST = 0.025, 12
-#: Tokens of a name that are all paired with each other; of more, each is paired with the next so many.
+#: Most tokens of a script that are indexed in pairs; the tokens of longer names are indexed one by one.
 PAIRED = 6
 
 # Legal forms and joining words, with usual abbreviations.
@@ -202,10 +205,17 @@ class Tokenizer:
         if not is_arabic(w):
             if len(w) < 5 or any(w != x and _subsequence(w, x) for x in self._by_first.get(w[0], ())):
                 return True
-        if len(w) >= 5:
-            most = 1 if len(w) < 8 else 2
-            return any(edits(w, x, most) <= most for d in self._shortened(w) for x in self._near.get(d, ()))
-        return False
+        return self._mistyped(w) or any(
+            (w[:i] in self.shared and self._mistyped(w[i:])) or (w[i:] in self.shared and self._mistyped(w[:i]))
+            for i in range(4, len(w) - 3)
+        )
+
+    def _mistyped(self, w: str) -> bool:
+        """Whether a word is a shared one with few edits."""
+        if len(w) < 5:
+            return False
+        most = 1 if len(w) < 8 else 2
+        return any(edits(w, x, most) <= most for d in self._shortened(w) for x in self._near.get(d, ()))
 
     @staticmethod
     def _shortened(w: str) -> set[str]:
@@ -225,26 +235,68 @@ class Tokenizer:
         return list(out)
 
 
+    def shorts(self, tokens: list[str], *texts: str | None) -> list[str]:
+        """Words of some names that can be an initial or an abbreviation of a distinctive token."""
+        found = {w for t in texts for w in words(t)}
+        found -= {x for t in tokens for x in (t, *(w for w in found if strip_article(w) == t))}
+        return sorted(w for w in found if not is_arabic(w) and len(w) < 5 and w.isalpha() and not self._trade(w))
+
+    def _trade(self, w: str) -> bool:
+        if w in LEGAL_FOLDED or w in OUTLETS or w in self.shared:
+            return True
+        return len(w) > 1 and any(_subsequence(w, x) for x in self._by_first.get(w[0], ()))
+
+
 def deletes(s: str) -> set[str]:
     """A skeleton and, if it is long enough, what is left after leaving out one letter."""
     return {s} | ({s[:i] + s[i + 1 :] for i in range(len(s))} if len(s) >= 3 else set())
 
 
-def pair_keys(tokens: list[str]) -> list[str]:
-    """Neighbourhood keys of a name: for two of its tokens, one skeleton and the deletes of the other."""
+def _key(*parts: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest("|".join(parts).encode()) - (1 << 63)
+
+
+def pair_keys(tokens: list[str]) -> list[int]:
+    """Neighbourhood keys of a name: for two of its tokens, one skeleton and the deletes of the other.
+
+    None for a script of which it has more than ``PAIRED`` tokens.
+    """
     out = set()
     for script in (True, False):
         same = [coarse(t) for t in tokens if is_arabic(t) == script]
-        pairs = (
-            combinations(same, 2)
-            if len(same) <= PAIRED
-            else ((same[i], same[j]) for i in range(len(same)) for j in range(i + 1, min(len(same), i + 4)))
-        )
-        for a, b in pairs:
-            out |= {"|".join(sorted((x, b))) for x in deletes(a)} | {"|".join(sorted((a, y))) for y in deletes(b)}
-    return sorted(out)
+        for a, b in combinations(same, 2) if len(same) <= PAIRED else ():
+            out |= {tuple(sorted((x, b))) for x in deletes(a)} | {tuple(sorted((a, y))) for y in deletes(b)}
+    return sorted(_key("p", *x) for x in out)
+
+
+def initial_keys(tokens: list[str], shorts: list[str]) -> list[int]:
+    """Keys under which a name of one Latin token and initials meets the names that have this token beside another."""
+    latin = [t for t in tokens if not is_arabic(t)]
+    if len(latin) == 1:
+        return sorted({_key("i", coarse(latin[0]), s[0]) for s in shorts})
+    return sorted({_key("i", coarse(a), b[0]) for a in latin for b in latin if a != b}) if len(latin) <= PAIRED else []
+
+
+def single_keys(tokens: list[str]) -> list[int]:
+    """Neighbourhood keys of all single tokens of a name that has more than ``PAIRED`` of a script."""
+    if max(sum(map(is_arabic, tokens)), sum(not is_arabic(t) for t in tokens)) <= PAIRED:
+        return []
+    return sorted({_key("s", d) for t in tokens for d in deletes(coarse(t))})
+
+
+def probe_keys(tokens: list[str]) -> list[int]:
+    """Keys under which any name is looked up among the long ones: those of the longest skeleton of each script."""
+    out: set[str] = set()
+    for script in (True, False):
+        same = [coarse(t) for t in tokens if is_arabic(t) == script]
+        if len(same) > 1:
+            out |= deletes(max(same, key=lambda x: (len(x), x)))
+    return sorted(_key("s", d) for d in out)
 
 
+@lru_cache(maxsize=1_000_000)
 def token_distance(a: str, b: str) -> float:
     """Distance of two tokens, 9 where they are not spellings of one another."""
     if a == b:
@@ -269,20 +321,95 @@ def token_distance(a: str, b: str) -> float:
     return float(d) if d <= most else 9.0
 
 
-def same_names(a: list[str], b: list[str]) -> bool:
-    """Optimal assignment of two tokens of each name; the tokens of a name are of its two scripts."""
-    best = 9.0
-    for sa in (False, True):
-        ta = [t for t in a if is_arabic(t) == sa][:8]
-        for sb in (False, True):
-            tb = [t for t in b if is_arabic(t) == sb][:8]
-            if len(ta) < 2 or len(tb) < 2:
-                continue
-            cost = [[token_distance(x, y) for y in tb] for x in ta]
-            for i, j in combinations(range(len(ta)), 2):
-                for k, m in permutations(range(len(tb)), 2):
-                    best = min(best, cost[i][k] + cost[j][m])
-    return best <= 2.0
+def assignment(cost: list[list[float]]) -> list[int]:
+    """Column of each row of a matrix with no more rows than columns, so that the sum is least (shortest augmenting paths)."""
+    n, m = len(cost), len(cost[0])
+    above, left = [0.0] * (m + 1), [0.0] * (n + 1)
+    holder = [0] * (m + 1)  # row that holds a column; column 0 is the row looking for one
+    for row in range(1, n + 1):
+        holder[0], at = row, 0
+        reach, came, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while holder[at]:
+            done[at] = True
+            r, step, following = holder[at], float("inf"), 0
+            for c in range(1, m + 1):
+                if not done[c]:
+                    d = cost[r - 1][c - 1] - left[r] - above[c]
+                    if d < reach[c]:
+                        reach[c], came[c] = d, at
+                    if reach[c] < step:
+                        step, following = reach[c], c
+            for c in range(m + 1):
+                if done[c]:
+                    left[holder[c]] += step
+                    above[c] -= step
+                else:
+                    reach[c] -= step
+            at = following
+        while at:
+            holder[at] = holder[came[at]]
+            at = came[at]
+    out = [0] * n
+    for c in range(1, m + 1):
+        if holder[c]:
+            out[holder[c] - 1] = c - 1
+    return out
+
+
+def best_assignment(a: list[str], b: list[str]) -> list[tuple[int, int, float]]:
+    """Pairs ``(place in a, place in b, distance)`` of the optimal assignment that are spellings of one another."""
+    if len(a) > len(b):
+        return [(j, i, d) for i, j, d in best_assignment(b, a)]
+    cost = [[token_distance(x, y) for y in b] for x in a]
+    if len(a) == 2 and len(b) == 2:
+        straight = cost[0][0] + cost[1][1] <= cost[0][1] + cost[1][0]
+        found = ((0, 0), (1, 1)) if straight else ((0, 1), (1, 0))
+    else:
+        found = enumerate(assignment(cost)) if a else ()
+    return [(i, j, cost[i][j]) for i, j in found if cost[i][j] < 9]
+
+
+def stands_for(short: str, token: str) -> bool:
+    """Whether a word of up to four letters is an initial or an abbreviation of a token."""
+    return short[0] == token[0] and len(short) < len(token) and _subsequence(short, token)
+
+
+def covered(rest: list[str], shorts: list[str]) -> bool:
+    """Whether each token left over is stood for by a short word of its own."""
+    free = list(shorts)
+    for token in rest:
+        found = next((s for s in sorted(free, key=len, reverse=True) if stands_for(s, token)), None)
+        if found is None:
+            return False
+        free.remove(found)
+    return True
+
+
+def same_names(a: list[str], b: list[str], short_a: list[str] = (), short_b: list[str] = ()) -> bool:
+    """Whether two names, each the distinctive tokens of its two scripts, are spellings of one.
+
+    In some script of each, the optimal assignment finds two tokens or more at one edit apiece on the average, and every
+    token of one of the names is found or has an initial or abbreviation in the other. One token found must be within one
+    edit, and then all others of that name need initials.
+    """
+    sides = [([t for t in x if not is_arabic(t)], [t for t in x if is_arabic(t)]) for x in (a, b)]
+    for sa, sb in ((0, 0), (1, 1), (0, 1), (1, 0)):
+        ta, tb = sides[0][sa], sides[1][sb]
+        if not ta or not tb or max(len(ta), len(tb)) < 2:
+            continue
+        pairs = best_assignment(ta, tb)
+        if not pairs or sum(d for _, _, d in pairs) > len(pairs):
+            continue
+        held_a, held_b = {i for i, _, _ in pairs}, {j for _, j, _ in pairs}
+        rest_a = [t for i, t in enumerate(ta) if i not in held_a]
+        rest_b = [t for j, t in enumerate(tb) if j not in held_b]
+        if len(pairs) > 1 and (not rest_a or not rest_b):
+            return True
+        if rest_a and short_b and covered(rest_a, short_b) and (len(pairs) > 1 or not rest_b):
+            return True
+        if rest_b and short_a and covered(rest_b, short_a) and (len(pairs) > 1 or not rest_a):
+            return True
+    return False
 
 
 def partner_key(word: str) -> str:
@@ -334,58 +461,92 @@ def shared_words(names: DataFrame, *columns: str) -> set[str]:
     return {r[0] for r in partners.filter(F.col("n") >= max(SHARED_LEAST, SHARED_SHARE * total)).select("w").collect()}
 
 
-def token_column(shared, name: Column, other: Column) -> Column:
-    """Distinctive tokens of two name columns; ``shared`` is a broadcast set of shared words."""
+def name_column(shared, name: Column, other: Column) -> Column:
+    """Tokens and short words of two name columns, each sorted; ``shared`` is a broadcast set of shared words."""
     made: list[Tokenizer] = []
 
-    @F.arrow_udf("array<string>")
-    def tokens(a: pa.Array, b: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<tokens: array<string>, shorts: array<string>>")
+    def split(a: pa.Array, b: pa.Array) -> pa.Array:
         if not made:
             made.append(Tokenizer(shared.value))
-        rows = zip(a.to_pylist(), b.to_pylist())
-        return pa.array([made[0].distinctive(x, y) for x, y in rows], pa.list_(pa.string()))
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            tokens = made[0].distinctive(x, y)
+            out.append({"tokens": sorted(tokens), "shorts": made[0].shorts(tokens, x, y) if tokens else []})
+        many = pa.list_(pa.string())
+        return pa.array(out, pa.struct([("tokens", many), ("shorts", many)]))
 
-    return tokens(name, other)
+    return split(name, other)
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def key_column(tokens: pa.Array) -> pa.Array:
-    return pa.array([pair_keys(t) if t else [] for t in tokens.to_pylist()], pa.list_(pa.string()))
+#: Kinds of index keys: of pairs of tokens, met by their like; of the one side and of the other of the two other indexes.
+BOTH, POSTED, PROBED = 0, 1, 2
+
+
+def index_keys(tokens: list[str], shorts: list[str], several: bool) -> list[tuple[int, int]]:
+    """``(kind, key)`` under which a name's class is indexed."""
+    if not several:
+        return [(POSTED, k) for k in initial_keys(tokens, shorts)] if shorts else []
+    found = [(BOTH, k) for k in pair_keys(tokens)]
+    found += [(PROBED, k) for k in (*initial_keys(tokens, shorts), *probe_keys(tokens))]
+    return found + [(POSTED, k) for k in single_keys(tokens)]
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType())])))
+def key_column(tokens: pa.Array, shorts: pa.Array, several: pa.Array) -> pa.Array:
+    rows = zip(*(x.to_pylist() for x in (tokens, shorts, several)))
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("key", pa.int64())]))
+    return pa.array([[{"kind": n, "key": k} for n, k in index_keys(*row)] for row in rows], kind)
 
 
 @F.arrow_udf(T.BooleanType())
-def same_column(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([same_names(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+def same_column(a: pa.Array, b: pa.Array, short_a: pa.Array, short_b: pa.Array) -> pa.Array:
+    rows = zip(*(x.to_pylist() for x in (a, b, short_a, short_b)))
+    return pa.array([same_names(*row) for row in rows], pa.bool_())
 
 
-def name_variants(
+def name_links(
     listings: DataFrame, key: str = "pos", name: str = "name_en", other: str = "name_ar"
-) -> DataFrame:
-    """``pos_a, pos_b``: pairs of rows that name one organisation, equal spellings included, smaller key first.
+) -> tuple[DataFrame, DataFrame]:
+    """Membership (``pos, rep``) of the rows in classes of one name, and links (``ra, rb``) between the representatives of
+    classes that name one organisation, the smaller first.
 
-    Names without distinctive tokens (null, blank, initials only, a trade only) name no organisation and have no pairs;
-    those with one are paired with equal names only. Rows with the same names share a representative, so copies are compared once; their pairs are expanded last.
-    Repeated keys give no pair with themselves. Very long names are tokenised whole.
+    Rows with the same tokens are a class; where a name has but one token in a script, rows with equal names. Names without
+    distinctive tokens (null, blank, initials only, a trade only) name no organisation and are in no class.
     """
     spark = listings.sparkSession
     rows = listings.select(F.col(key).alias("pos"), F.col(name).alias("a"), F.col(other).alias("b"))
     shared = spark.sparkContext.broadcast(shared_words(rows, "a", "b"))
-    named = rows.groupBy("a", "b").agg(F.min("pos").alias("rep"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = named.repartition(parts, "rep").withColumn("tokens", token_column(shared, F.col("a"), F.col("b")))
-    named = materialise(named.filter(F.size("tokens") >= 1))
-    keyed = named.select("rep", "tokens", F.explode(key_column("tokens")).alias("key"))
-    a = keyed.select("key", F.col("rep").alias("ra"))
-    b = keyed.select("key", F.col("rep").alias("rb"))
-    candidates = a.join(b, "key").filter("ra < rb").select("ra", "rb").distinct()
-    left = named.select(F.col("rep").alias("ra"), F.col("tokens").alias("ta"))
-    right = named.select(F.col("rep").alias("rb"), F.col("tokens").alias("tb"))
-    same = candidates.join(left, "ra").join(right, "rb").filter(same_column("ta", "tb")).select("ra", "rb")
-    itself = named.select(F.col("rep").alias("ra"), F.col("rep").alias("rb"))
-    links = materialise(same.union(itself))
-    members = rows.join(named.select("rep", "a", "b"), rows["a"].eqNullSafe(named["a"]) & rows["b"].eqNullSafe(named["b"]))
-    members = materialise(members.select("pos", "rep"))
-    pairs = links.join(members.select(F.col("rep").alias("ra"), F.col("pos").alias("x")), "ra")
-    pairs = pairs.join(members.select(F.col("rep").alias("rb"), F.col("pos").alias("y")), "rb")
-    pairs = pairs.filter((F.col("x") < F.col("y")) | ((F.col("ra") != F.col("rb")) & (F.col("x") > F.col("y"))))
-    return pairs.select(F.least("x", "y").alias("pos_a"), F.greatest("x", "y").alias("pos_b")).distinct()
+    named = rows.repartition(parts, "pos").withColumn("n", name_column(shared, F.col("a"), F.col("b")))
+    latin = F.size(F.filter("n.tokens", lambda t: t.rlike("^[a-z0-9]")))
+    several = (latin > 1) | (F.size("n.tokens") - latin > 1)
+    raw = F.when(~several, F.xxhash64("a", "b"))
+    named = materialise(named.filter(F.size("n.tokens") > 0).select("pos", "n.*", several.alias("several"), raw.alias("raw")))
+    forms = named.groupBy("tokens", "shorts", "several", "raw").agg(F.min("pos").alias("rep"), F.count(F.lit(1)).alias("n"))
+    forms = materialise(forms)
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("tokens", "shorts", "several", "raw")]
+    members = materialise(named.alias("x").join(forms.alias("y"), same).select("x.pos", "y.rep"))
+    keyed = forms.select("rep", F.explode(key_column("tokens", "shorts", "several")).alias("k")).select("rep", "k.*")
+    keyed = materialise(keyed)
+    left = keyed.filter(F.col("kind") != PROBED).select("key", "kind", F.col("rep").alias("x"))
+    right = keyed.filter(F.col("kind") != POSTED).select("key", F.col("rep").alias("y"))
+    met = block_join(left, right, ["key"], "x", "y").filter((F.col("x") < F.col("y")) | ((F.col("kind") != BOTH) & (F.col("x") > F.col("y"))))
+    candidates = met.select(F.least("x", "y").alias("ra"), F.greatest("x", "y").alias("rb"))
+    one = forms.select(F.col("rep").alias("ra"), F.col("tokens").alias("ta"), F.col("shorts").alias("sa"))
+    two = forms.select(F.col("rep").alias("rb"), F.col("tokens").alias("tb"), F.col("shorts").alias("sb"))
+    verified = candidates.distinct().join(one, "ra").join(two, "rb").filter(same_column("ta", "tb", "sa", "sb"))
+    return members, materialise(verified.select("ra", "rb"))
+
+
+def name_variants(
+    listings: DataFrame, key: str = "pos", name: str = "name_en", other: str = "name_ar"
+) -> DataFrame:
+    """``pos_a, pos_b``: pairs of rows that name one organisation, equal spellings included, smaller key first.
+
+    The classes and links are those of :func:`name_links`, expanded. Names with one distinctive token are paired with equal
+    names and with those that their initials complete. Repeated keys give no pair with themselves. Very long names are
+    tokenised whole.
+    """
+    members, links = name_links(listings, key, name, other)
+    return expand_pairs(members, links)

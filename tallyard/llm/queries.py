@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import addresses, canonical, fingerprint, lookalike, matching, names, packing, residue, survivor, tokenize
+from . import addresses, canonical, fingerprint, lookalike, matching, names, packing, pairs, residue, survivor, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.name_variants(table(spark, d, "portal_listing"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's class of one name and the number of other classes linked to it: the result without its pairs."""
+    return pairs.class_sizes(*names.name_links(table(spark, d, "portal_listing")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_buildings(table(spark, d, "parsed_company"))
 

@@ -322,7 +322,58 @@ def test_cut_beginnings_of_any_length_meet_their_continuation(spark):
     ],
 )
 def test_token_assignment(a, b, same):
-    assert names.same_names(a, b) is same
+    assert names.same_names(a, b) is same and names.same_names(b, a) is same
+
+
+@pytest.mark.parametrize(
+    "a, b, short_a, short_b, same",
+    [
+        (["alphan", "bravod", "carter"], ["alphan", "bravod", "dunlop"], [], [], False),  # a third word contradicts
+        (["alphan", "bravod", "carter"], ["alphan", "bravod"], [], [], True),
+        (["alphan", "bravod", "carter"], ["alphan", "bravod", "dunlop"], [], ["c"], True),  # but its initial is there
+        (["alphan", "carter"], ["alphan"], [], ["c"], True), (["alphan", "carter"], ["alphan"], [], ["crtr"], True),
+        (["alphan", "carter"], ["alphan"], [], ["d"], False), (["alphan", "carter"], ["alphan"], [], [], False),
+        (["alphan", "carter"], ["zulmun"], [], ["c"], False),
+        ([f"w{c}kmun" for c in "abcdefghij"], ["wakmun", "wjkmun"], [], [], True),  # first and tenth of ten
+    ],
+)
+def test_all_tokens_count_and_initials_stand_for_them(a, b, short_a, short_b, same):
+    assert names.same_names(a, b, short_a, short_b) is same and names.same_names(b, a, short_b, short_a) is same
+
+
+@settings(max_examples=150, deadline=None)
+@given(cost=st.integers(1, 4).flatmap(lambda n: st.integers(n, 5).flatmap(lambda m: st.lists(st.lists(st.integers(0, 9), min_size=m, max_size=m), min_size=n, max_size=n))))
+def test_assignment_is_optimal(cost):
+    found = names.assignment(cost)
+    assert len(set(found)) == len(found)
+    least = min(sum(cost[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(len(cost[0])), len(cost)))
+    assert sum(cost[i][j] for i, j in enumerate(found)) == least
+
+
+def test_long_names_and_initials_are_indexed(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bdfjklmnrstz") + rng.choice("aiu") for _ in range(4))
+    rows = [{"pos": i, "name_en": f"{word()} {word()} Printing Company"} for i in range(200)]
+    ten = [word() for _ in range(10)]
+    rows += [{"pos": 1000, "name_en": " ".join(ten)}, {"pos": 1001, "name_en": f"{ten[9]} {ten[0]} Printing Co"}, {"pos": 1002, "name_en": f"{ten[4]} Printing {word()}"}]
+    rows += [{"pos": 1003, "name_en": "Khabookhja Raasidmun Printing"}, {"pos": 1004, "name_en": "R. Khabookhja Printing Co"}, {"pos": 1005, "name_en": "Q. Khabookhja Printing Co"}]
+    assert {tuple(r) for r in names.name_variants(listing(spark, rows)).collect() if r[0] >= 1000} == {(1000, 1001), (1003, 1004)}
+
+
+@pytest.mark.parametrize("block_rows", [2, 1000])
+def test_pairs_are_expanded_from_classes(spark, block_rows):
+    from tallyard.llm import pairs
+
+    members = [(p, 1) for p in range(1, 8)] + [(20, 20), (21, 20), (30, 30)]
+    links = [(1, 20), (20, 30)]
+    got = [tuple(r) for r in pairs.expand_pairs(spark.createDataFrame(members + members[:2], "pos long, rep long"), spark.createDataFrame(links, "ra long, rb long"), block_rows=block_rows).collect()]
+    of = dict(members)
+    want = {(x, y) for x, y in itertools.combinations(sorted(of), 2) if of[x] == of[y] or tuple(sorted((of[x], of[y]))) in links}
+    assert set(got) == want and len(got) == len(want)
+    sizes = pairs.class_sizes(spark.createDataFrame(members, "pos long, rep long"), spark.createDataFrame(links, "ra long, rb long")).collect()
+    assert {(r.pos, r.n_links) for r in sizes} == {(p, {1: 1, 20: 2, 30: 1}[r]) for p, r in members}
 
 
 @settings(max_examples=200, deadline=None)
