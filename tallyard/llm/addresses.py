@@ -2,24 +2,29 @@
 
 An address is a weighted vector of letter n-grams: its words are reduced to consonant skeletons, in which Latin and Arabic
 writings agree, and cut into padded n-grams weighted by their rarity in all addresses. Candidates come from an inverted
-index over (house number, n-gram) in which each address posts only its prefix: the rarest n-grams until the norm of the
-rest is below the threshold, so no pair at or above the threshold is missed. Candidates are verified by cosine similarity
-and compatible house numbers.
+index over (digits of the house number, n-gram) in which each address posts only its prefix: the rarest n-grams until the
+norm of the rest is below the threshold, so no pair at or above the threshold is missed. Candidates are verified by cosine
+similarity and compatible house numbers: a letter behind the number may be missing on one side, two letters must agree.
 
-Equal addresses are reduced to one representative first and expanded at the end.
+N-grams are numbered by a hash into ``BUCKETS`` places, so the table of their weights has one size for every script and
+table. Equal addresses are reduced to one representative first and expanded at the end.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import lookup_join, materialise
-from .names import beside, coarse, fold, same_names, skeleton, strip_article
+from ..session import block_join, lookup_join, materialise
+from .names import beside, coarse, fold, is_arabic, skeleton, strip_article, token_distance
+from .pairs import expand_pairs
 
 #: Least cosine similarity; pairs without a common postal code need the second, and two common words below the third.
 THRESHOLD, WITHOUT_POSTAL, CERTAIN = 0.25, 0.28, 0.6
@@ -29,6 +34,8 @@ COMMON_SHARE, COMMON_LEAST = 0.005, 12
 BESIDE_SHARE, BESIDE_LEAST = 0.05, 12
 #: Letters of an n-gram.
 SIZE = 4
+#: Places of the table of n-gram weights; n-grams in one place share its count.
+BUCKETS = 1 << 18
 
 _DIGITS = {ord(c): str(i % 10) for i, c in enumerate("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹")}
 # Words of address parts, which carry no location by themselves.
@@ -80,21 +87,25 @@ def read_address(address: str | None) -> tuple[str | None, str | None, list[str]
     return number, postal[0][:5] if postal else None, [w for w in words if w not in PART_WORDS and len(w) > 1]
 
 
-def grams(words: list[str]) -> list[str]:
-    """Distinct padded n-grams of the skeletons of some words, in order; short skeletons whole."""
-    out: dict[str, None] = {}
-    for w in words:
-        s = skeleton(w)
-        if s:
-            s = f"^{s}$"
-            for i in range(max(1, len(s) - SIZE + 1)):
-                out[s[i : i + SIZE]] = None
-    return list(out)
+@lru_cache(maxsize=100_000)
+def _grams_of(word: str) -> tuple[int, ...]:
+    import xxhash
 
+    s = skeleton(word)
+    if not s:
+        return ()
+    s = f"^{s}$"
+    return tuple(xxhash.xxh32_intdigest(s[i : i + SIZE].encode()) % BUCKETS for i in range(max(1, len(s) - SIZE + 1)))
 
-def vector(found: list[str], weight: dict[str, tuple[int, float]]) -> tuple[list[int], list[float]]:
-    """Ids and weights of a unit vector of some n-grams, heaviest first (ties by id)."""
-    raw = sorted((weight[g] for g in found if g in weight), key=lambda x: (-x[1], x[0]))
+
+def grams(words: list[str]) -> list[int]:
+    """Distinct padded n-grams (their places) of the skeletons of some words, in order; short skeletons whole."""
+    return list(dict.fromkeys(g for w in words for g in _grams_of(w)))
+
+
+def vector(found: list[int], weight) -> tuple[list[int], list[float]]:
+    """N-grams and weights of a unit vector, heaviest first (ties by place). ``weight``: of each place; 0 leaves it out."""
+    raw = sorted(((g, float(weight[g])) for g in found if weight[g] > 0), key=lambda x: (-x[1], x[0]))
     norm = math.sqrt(sum(w * w for _, w in raw))
     return ([i for i, _ in raw], [w / norm for _, w in raw]) if norm else ([], [])
 
@@ -115,11 +126,28 @@ def cosine(a: tuple[list[int], list[float]], b: tuple[list[int], list[float]]) -
     return sum(w * other.get(i, 0.0) for i, w in zip(*a))
 
 
+def compatible(a: str, b: str) -> bool:
+    """House numbers with the same digits, whose letters agree or are missing on one side."""
+    x, y = (re.fullmatch(r"(\d*)(.*)", v).groups() for v in (a, b))
+    return x[0] == y[0] and (x[1] == y[1] or not x[1] or not y[1])
+
+
 def same_building(cos: float, postal_a: str | None, postal_b: str | None, a: list[str], b: list[str]) -> bool:
-    """Verification of two addresses with one house number; ``a`` and ``b`` are their uncommon words."""
+    """Verification of two addresses with compatible house numbers; ``a`` and ``b`` are their uncommon words."""
     if postal_a and postal_b:
         return postal_a == postal_b and cos >= THRESHOLD
-    return cos >= CERTAIN or (cos >= WITHOUT_POSTAL and same_names(a, b))
+    return cos >= CERTAIN or (cos >= WITHOUT_POSTAL and same_places(a, b))
+
+
+def same_places(a: list[str], b: list[str]) -> bool:
+    """Whether two words of one address are spellings of two of the other, at two edits together; other parts may be missing."""
+    sides = [([w for w in x if not is_arabic(w)], [w for w in x if is_arabic(w)]) for x in (a, b)]
+    for ta in sides[0]:
+        for tb in sides[1]:
+            near = [(d, i, j) for i, x in enumerate(ta) for j, y in enumerate(tb) if (d := token_distance(x, y)) <= 2]
+            if any(d + e <= 2 and i != k and j != m for (d, i, j), (e, k, m) in combinations(near, 2)):
+                return True
+    return False
 
 
 def common_words(texts: DataFrame, total: int) -> set[str]:
@@ -140,20 +168,21 @@ def common_words(texts: DataFrame, total: int) -> set[str]:
     return {r[0] for r in partners.filter(F.col("n") >= max(BESIDE_LEAST, BESIDE_SHARE * words)).select("w").collect()}
 
 
-def same_buildings(listings: DataFrame, key: str = "pos", address: str = "full_address", hot_rows: int = 200_000) -> DataFrame:
-    """``pos_a, pos_b``: pairs of rows whose addresses denote one building, equal writings included, smaller key first.
+def building_links(
+    listings: DataFrame, key: str = "pos", address: str = "full_address", hot_rows: int = 200_000
+) -> tuple[DataFrame, DataFrame]:
+    """Membership (``pos, rep``) of the rows in classes of one writing, and links (``ra, rb``) between the representatives
+    of writings that denote one building, the smaller first.
 
-    Addresses without a house number or without words (null, blank, a city, a box) are no case. Rows repeated with the same
-    key are no pair. Very long addresses are read whole. Other columns are not read.
+    Addresses without a house number or without words (null, blank, a city, a box) are in no class.
     """
     spark = listings.sparkSession
     rows = listings.select(F.col(key).alias("pos"), F.col(address).alias("text")).filter(F.col("text").isNotNull())
 
-    @F.arrow_udf("struct<number: string, postal: string, grams: array<string>, words: array<string>>")
+    @F.arrow_udf("struct<number: string, postal: string, grams: array<int>, words: array<string>>")
     def read(texts: pa.Array) -> pa.Array:
         found = [read_address(t) for t in texts.to_pylist()]
-        many = pa.list_(pa.string())
-        kind = pa.struct([("number", pa.string()), ("postal", pa.string()), ("grams", many), ("words", many)])
+        kind = pa.struct([("number", pa.string()), ("postal", pa.string()), ("grams", pa.list_(pa.int32())), ("words", pa.list_(pa.string()))])
         out = [{"number": n, "postal": p, "grams": sorted(grams(w)) if n else [], "words": sorted(set(w))} for n, p, w in found]
         return pa.array(out, kind)
 
@@ -162,11 +191,12 @@ def same_buildings(listings: DataFrame, key: str = "pos", address: str = "full_a
     texts = texts.filter(F.col("text").rlike(r"\p{Nd}")).repartition(parts, "text").withColumn("r", read("text"))
     texts = materialise(texts.select("text", "n", "least", "r.*").filter("number is not null and size(grams) > 0"))
 
-    counted = texts.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy("g").collect()
     total = texts.count()
     common = spark.sparkContext.broadcast(common_words(texts, total))
-    # n-grams are at most the number of skeleton letters to the power of SIZE
-    weight = spark.sparkContext.broadcast({r["g"]: (i, math.log(1 + total / r["n"])) for i, r in enumerate(counted)})
+    counted = texts.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    table = np.zeros(BUCKETS, dtype=np.float32)  # its size is fixed, whatever the script
+    table[counted["g"].to_numpy()] = np.log1p(total / counted["n"].to_numpy())
+    weight = spark.sparkContext.broadcast(table)
 
     @F.arrow_udf("struct<ids: array<int>, weights: array<float>, prefix: array<int>>")
     def vectors(found: pa.Array) -> pa.Array:
@@ -177,16 +207,20 @@ def same_buildings(listings: DataFrame, key: str = "pos", address: str = "full_a
 
     forms = texts.groupBy("number", "postal", "grams").agg(F.min("least").alias("rep"), F.min("words").alias("words"))
     forms = materialise(forms.withColumn("v", vectors("grams")).select("rep", "number", "postal", "grams", "words", "v.*"))
-    posted = forms.select("rep", "number", F.explode("prefix").alias("g"))
+    digits = F.regexp_extract("number", r"^(\d*)", 1)
+    posted = forms.select("rep", digits.alias("digits"), F.explode("prefix").alias("g"))
     a, b = posted.withColumnRenamed("rep", "ra"), posted.withColumnRenamed("rep", "rb")
-    candidates = a.join(b, ["number", "g"]).filter("ra < rb").select("ra", "rb").distinct()
+    candidates = block_join(a, b, ["digits", "g"], "ra", "rb").filter("ra < rb").select("ra", "rb").distinct()
 
-    fields = ("ids", "weights", "postal", "words")
+    fields = ("number", "ids", "weights", "postal", "words")
 
     @F.arrow_udf("boolean")
     def verified(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(left.to_pylist(), right.to_pylist()):
+            if not compatible(x["number"], y["number"]):
+                out.append(False)
+                continue
             cos = cosine((x["ids"], x["weights"]), (y["ids"], y["weights"]))
             a, b = ([w for w in v["words"] if w not in common.value] for v in (x, y))
             out.append(same_building(cos, x["postal"], y["postal"], a, b))
@@ -194,13 +228,17 @@ def same_buildings(listings: DataFrame, key: str = "pos", address: str = "full_a
 
     left = forms.select(F.col("rep").alias("ra"), F.struct(*fields).alias("x"))
     right = forms.select(F.col("rep").alias("rb"), F.struct(*fields).alias("y"))
-    same = candidates.join(left, "ra").join(right, "rb").filter(verified("x", "y")).select("ra", "rb")
-    links = materialise(same.union(forms.select(F.col("rep").alias("ra"), F.col("rep").alias("rb"))))
-
-    reps = texts.join(forms.select("number", F.col("postal").alias("p"), "grams", "rep"), (texts["number"] == forms["number"]) & texts["postal"].eqNullSafe(F.col("p")) & (texts["grams"] == forms["grams"]))
-    reps = materialise(reps.select("text", "n", "rep"))
-    members = materialise(lookup_join(rows, reps, ["text"], "n", hot_rows).select("pos", "rep"))
-    pairs = links.join(members.select(F.col("rep").alias("ra"), F.col("pos").alias("x")), "ra")
-    pairs = pairs.join(members.select(F.col("rep").alias("rb"), F.col("pos").alias("y")), "rb")
-    pairs = pairs.filter((F.col("x") < F.col("y")) | ((F.col("ra") != F.col("rb")) & (F.col("x") > F.col("y"))))
-    return pairs.select(F.least("x", "y").alias("pos_a"), F.greatest("x", "y").alias("pos_b")).distinct()
+    links = materialise(candidates.join(left, "ra").join(right, "rb").filter(verified("x", "y")).select("ra", "rb"))
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("number", "postal", "grams")]
+    reps = materialise(texts.alias("t").join(forms.alias("f"), same).select("t.text", "t.n", "f.rep"))
+    return materialise(lookup_join(rows, reps, ["text"], "n", hot_rows).select("pos", "rep")), links
+
+
+def same_buildings(listings: DataFrame, key: str = "pos", address: str = "full_address", hot_rows: int = 200_000) -> DataFrame:
+    """``pos_a, pos_b``: pairs of rows whose addresses denote one building, equal writings included, smaller key first.
+
+    The classes and links are those of :func:`building_links`, expanded. Rows repeated with the same key are no pair. Very
+    long addresses are read whole. Other columns are not read.
+    """
+    members, links = building_links(listings, key, address, hot_rows)
+    return expand_pairs(members, links)

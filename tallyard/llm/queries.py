@@ -72,6 +72,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_buildings(table(spark, d, "parsed_company"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every addressed row's class of one writing and the number of other classes linked to it: the result without its pairs."""
+    return pairs.class_sizes(*addresses.building_links(table(spark, d, "parsed_company")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint.formatting_copies(table(spark, d, "parsed_company"))
 

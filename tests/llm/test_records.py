@@ -440,7 +440,7 @@ def test_prefixes_lose_no_pair(data):
     weight = {}
     vectors = []
     for row in data:
-        table = {str(i): (i, 1.0 + i / 7) for i in row}
+        table = {i: 1.0 + i / 7 for i in row}
         weight |= table
         vectors.append(addresses.vector(sorted(table), weight))
     for a, b in itertools.combinations(vectors, 2):
@@ -448,6 +448,11 @@ def test_prefixes_lose_no_pair(data):
             assert set(addresses.prefix(*a, 0.5)) & set(addresses.prefix(*b, 0.5))
 
 
+@pytest.mark.parametrize("a, b, same", [("12", "12", True), ("12", "12a", True), ("12a", "12b", False), ("12", "13", False), ("120", "12", False)])
+def test_letters_behind_a_number(a, b, same):
+    assert addresses.compatible(a, b) is same and addresses.compatible(b, a) is same
+
+
 def test_same_buildings(spark):
     texts = {
         1: "Bldg 1076 Jamooztha Jifjaat Lane | Dawmoogh Dt | Ghimaarshi 71500-4711", 2: "no. 1076 jamooztha jifjaat lane - ghimaarshi 71500 - k.s.a",
@@ -521,6 +526,26 @@ def test_minhash_recall_across_scripts_and_on_names_mistyped_twice(crossing):
     assert met / total >= 0.9
 
 
+def test_attributes_block_together_and_long_names_are_met(spark):
+    """A trade name with one word meets by a mistyped word and the telephone; the ends of a name of ten words are found."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bdfghjklmnrstz") + rng.choice("aeiou") for _ in range(5))
+    met = 0
+    for i in range(200):
+        name, number, host = word(), f"1{rng.randrange(10**8):08d}", word() + ".example"
+        typed = name[:3] + "k" + name[4:]
+        other = host[:4] + host[5:] if i % 2 else None
+        met += bool(set(matching.cross_keys([name], host, number)) & set(matching.cross_keys([typed], other, number)))
+    assert met >= 180
+    ten = [word() for _ in range(10)]
+    assert set(matching.name_keys(ten, [], "l")) & set(matching.name_keys([ten[0], ten[9]], [], "r"))
+    assert set(matching.name_keys([ten[0], ten[9]], [], "l")) & set(matching.name_keys(ten, [], "r"))
+    f = dict(zip(matching.FEATURES, matching.features_of(*({"tokens": ["x"], "slug": [], "trades": [], "initials": [], "acronym": "", "site": x, "phone": p} for x, p in (("ab.example", "152345678"), ("ac.example", "152345679"))))))
+    assert f["site_likeness"] == f["phone_likeness"] == 1 - 1 / 3 and f["same_site"] == 0
+
+
 def test_sources_are_matched(spark):
     import random
 
@@ -547,7 +572,7 @@ def test_calibration_needs_both_labels():
     import numpy as np
 
     model = matching.Classifier.train(np.zeros((0, len(matching.FEATURES))), np.zeros(0), np.zeros(0, dtype=bool))
-    strong = [1, 1, 1, 0, 0, 1, 0, 1, 0, 1, 1, 0]
-    weak = [0, 0.1, 0, 0, 0, 0, 1, 0, 1, 0, 0, 0]
+    strong = [1, 1, 1, 0, 0, 1, 0, 1, 0, 1, 1, 0, 1, 1]
+    weak = [0, 0.1, 0, 0, 0, 0, 1, 0, 1, 0, 0, 0, 0, 0]
     high, low = model.confidence(np.array([strong, weak], dtype=float))
     assert high > 0.9 and low < 0.1
