@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import blank, lookup_join, materialise
@@ -25,8 +26,8 @@ from ..session import blank, lookup_join, materialise
 UNMATCHED = "unmatched"
 #: Windows remembered by a Python worker; beyond this many the memory is emptied, results do not change.
 REMEMBERED = 100_000
-#: A reference table above this many rows would not be built into one trie on the driver.
-MOST_ENTRIES = 2_000_000
+#: About how many entries of a reference table are built into one trie; a larger table is searched in as many tries as it needs.
+TRIE_ENTRIES = 200_000
 
 # Usual respellings of romanised Arabic, each applied to a whole entry as an alias path.
 RESPELLINGS = (
@@ -193,9 +194,13 @@ class Matcher:
 
     def find(self, value: str, every: bool = False) -> list[tuple[int, int, int]]:
         """(entry, letters of the window, edits) within the distance, best first: of ``every`` entry, or as far as the best needs."""
+        return [(entry, letters, edits) for entry, _, letters, edits in self.ranked(value, every)]
+
+    def ranked(self, value: str, every: bool = False) -> list[tuple[int, int, int, int]]:
+        """As :meth:`find`, with a rank before the letters that is comparable between tries."""
         whole = self.whole.get(value.strip().casefold())
         if whole is not None and not every:
-            return [(whole, len(value), 0)]
+            return [(whole, 1 << 40, len(value), 0)]
         words = [
             w if any(c.isalpha() for c in w) and w.rstrip(".") not in COUNTRY_WORDS else "" for w in words_of(value)
         ]
@@ -208,7 +213,10 @@ class Matcher:
                     break
                 bare = [w.rstrip(".") for w in part]
                 letters = sum(map(len, bare))
-                if letters >= 4 and max(map(len, bare)) >= 3:
+                if letters < 4 or max(map(len, bare)) < 3:
+                    if lo == 0 and hi == len(words):  # so short a window counts only where it is the whole value
+                        windows.add((letters, 1, "".join(bare)))
+                else:
                     windows.add((letters, 1, "".join(bare)))
                     if bare != part:
                         windows.add((letters, 0, "".join(part)))
@@ -225,36 +233,38 @@ class Matcher:
         if whole is not None:
             found[whole] = (2 * len(value) + 1, 0, len(value))
         ranked = sorted(found.items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))
-        return [(entry, letters, -edits) for entry, (_, edits, letters) in ranked]
+        return [(entry, 4 * score + less, letters, -less) for entry, (score, less, letters) in ranked]
 
-    def best(self, value: str) -> str:
-        found = self.find(value)
-        return self.ids[found[0][0]] if found else UNMATCHED
+    def best(self, value: str) -> tuple[int, str] | None:
+        """Rank (comparable between tries) and id of the best entry."""
+        found = self.ranked(value)
+        return (found[0][1], self.ids[found[0][0]]) if found else None
 
 
-def load_entries(reference: DataFrame, ident: str = "id", names: tuple[str, ...] = ("name_en", "name_ar", "slug")):
-    """Entries of a reference table, whose size is checked before it is brought to the driver."""
-    rows = reference.select(ident, *names).limit(MOST_ENTRIES + 1).collect()
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError("the reference table is too large for one trie")
-    return sorted((str(r[0]), [x for x in r[1:] if x]) for r in rows if r[0] is not None)
+Entries = list[tuple[str, list[str]]]
 
 
-def match_values(values: DataFrame, references: dict[str, list[tuple[str, list[str]]]]) -> DataFrame:
-    """``ref_id`` of each row of ``values`` (field_name, value, n). ``references``: entries by field name."""
-    shipped = values.sparkSession.sparkContext.broadcast(references)
-    made: dict[str, Matcher] = {}
+def entry_groups(reference: DataFrame, ident: str = "id", names: tuple[str, ...] = ("name_en", "name_ar", "slug")) -> Iterator[Entries]:
+    """The entries of a reference table in groups of about ``TRIE_ENTRIES``, drawn by a hash of the id; at least one group."""
+    groups = max(1, -(-reference.count() // TRIE_ENTRIES))
+    for g in range(groups):
+        rows = reference.filter(F.pmod(F.xxhash64(F.col(ident).cast("string")), F.lit(groups)) == g).select(ident, *names).collect()
+        yield sorted((str(r[0]), [x for x in r[1:] if x]) for r in rows if r[0] is not None)
 
-    @F.arrow_udf("string")
-    def best(fields: pa.Array, texts: pa.Array) -> pa.Array:
-        out = []
-        for field, text in zip(fields.to_pylist(), texts.to_pylist()):
-            if field not in made:
-                made[field] = Matcher(shipped.value[field])
-            out.append(made[field].best(text))
-        return pa.array(out, pa.string())
 
-    return values.withColumn("ref_id", best("field_name", "value"))
+def match_values(values: DataFrame, field: str, entries: Entries) -> DataFrame:
+    """``value, n, field_name, m``: rank and id of the best of some entries for each value of a field (null without one)."""
+    shipped = values.sparkSession.sparkContext.broadcast(entries)
+    made: list[Matcher] = []
+
+    @F.arrow_udf("struct<rank: bigint, ref_id: string>")
+    def best(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(Matcher(shipped.value))
+        found = [made[0].best(t) for t in texts.to_pylist()]
+        return pa.array([f and {"rank": f[0], "ref_id": f[1]} for f in found], pa.struct([("rank", pa.int64()), ("ref_id", pa.string())]))
+
+    return values.filter(F.col("field_name") == field).withColumn("m", best("value"))
 
 
 def typed_items(listings: DataFrame, key: str = "pos", city: str = "city", categories: str = "categories") -> DataFrame:
@@ -274,28 +284,37 @@ def map_to_canonical(
     searched whole; of entries equally near, the first by id is taken; repeated rows are all answered; with an empty
     reference table everything is unmatched. Other columns of the tables, whatever their names, are not read.
     """
-    references = {"city": load_entries(cities), "categories": load_entries(categories)}
-    literal = [
-        (field, row[0])
-        for field, table in (("city", cities), ("categories", categories))
-        for row in table.select(F.explode(F.array("name_en", "name_ar"))).distinct().collect()
-        if row[0] is not None
-    ]
     items = typed_items(listings)
-    for field in references:
-        names = sorted({v for f, v in literal if f == field})
-        if names:
-            items = items.filter(~((F.col("field_name") == field) & F.col("value").isin(names)))
     values = items.groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    tables = {"city": cities, "categories": categories}
+    literal = None
+    for field, table in tables.items():
+        names = table.select(F.lit(field).alias("field_name"), F.explode(F.array("name_en", "name_ar")).alias("value"))
+        literal = names if literal is None else literal.union(names)
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialise(match_values(values.repartition(parts, "value"), references))
-    joined = lookup_join(items, found, ["field_name", "value"], "n", hot_rows)
+    values = materialise(values.join(literal.filter("value is not null").distinct(), ["field_name", "value"], "left_anti").repartition(parts, "value"))
+    found = None
+    for field, table in tables.items():
+        for entries in entry_groups(table):
+            some = match_values(values, field, entries)
+            found = some if found is None else found.union(some)
+    # of several tries the best rank decides, then the first id, as within one
+    first = F.min(F.when(F.col("m").isNotNull(), F.struct((-F.col("m.rank")).alias("rank"), F.col("m.ref_id"))))
+    best = found.groupBy("field_name", "value").agg(F.max("n").alias("n"), F.coalesce(first["ref_id"], F.lit(UNMATCHED)).alias("ref_id"))
+    joined = lookup_join(items, materialise(best), ["field_name", "value"], "n", hot_rows)
     return joined.select("pos", "field_name", "item_no", "ref_id")
 
 
 def entries_within_distance(values: DataFrame, reference: DataFrame, column: str = "value") -> DataFrame:
     """Every entry within the length-dependent distance of each value, with letters explained and edits (all, not the best)."""
-    entries = load_entries(reference)
+    found = None
+    for entries in entry_groups(reference):
+        some = values.select(column, F.explode_outer(_every(values, column, entries)).alias("m")).select(column, "m.ref_id", "m.letters", "m.edits")
+        found = some if found is None else found.union(some.filter("ref_id is not null"))
+    return found
+
+
+def _every(values: DataFrame, column: str, entries: Entries) -> Column:
     shipped = values.sparkSession.sparkContext.broadcast(entries)
     made: list[Matcher] = []
 
@@ -307,5 +326,4 @@ def entries_within_distance(values: DataFrame, reference: DataFrame, column: str
         rows = [[(made[0].ids[e], n, d) for e, n, d in made[0].find(t, every=True)] if t else [] for t in texts.to_pylist()]
         return pa.array([[dict(zip(("ref_id", "letters", "edits"), x)) for x in r] for r in rows], kind)
 
-    out = values.select(column, F.explode_outer(every(F.col(column))).alias("m"))
-    return out.select(column, "m.ref_id", "m.letters", "m.edits")
+    return every(F.col(column))

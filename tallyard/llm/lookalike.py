@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import block_join, lookup_join, materialise
+from .pairs import expand_pairs
 
 #: Code points handled at once by a worker; a longer text is handled whole.
 BLOCK = 1 << 20
@@ -37,6 +38,12 @@ SAME_SHAPE = {
     "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J",
     # Latin letters of phonetic alphabets, Armenian
     "ɑ": "a", "ɡ": "g", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Օ": "O", "Տ": "S",
+    # Cherokee, Coptic, Lisu
+    "Ꭰ": "D", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮢ": "R",
+    "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
+    "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     # hyphens, apostrophe-free punctuation of the same drawing
     "‐": "-", "‑": "-", "⁃": "-", "˗": "-", "∶": ":", "∕": "/", "ǀ": "|", "∣": "|",
     # Arabic-script letters and the digits that are drawn alike in both digit sets (4, 5 and 6 are not)
@@ -177,8 +184,9 @@ def _compose(points: np.ndarray, rows: np.ndarray, t: Tables) -> tuple[np.ndarra
     starter, last = points[heads].copy(), np.zeros(len(heads), dtype=np.int16)
     rank = place - heads[run]
     keep = np.ones(n, dtype=bool)
+    following = np.append(rank[1:], 0)
     for k in range(1, int(rank.max()) + 1):  # k-th mark of every run that has one
-        at = np.flatnonzero(rank == k) if k == 1 else at[np.append(rank[1:], 0)[at] == k] + 1
+        at = np.flatnonzero(rank == k) if k == 1 else at[following[at] == k] + 1
         r = run[at]
         made = t.compose(starter[r], points[at])
         # last: class of the mark kept before this one, 0 when none was kept, 255 after a kept mark of class 0
@@ -272,39 +280,53 @@ def consistent_form(documents: DataFrame, key: str = "doc_id", text: str = "text
     return documents.select(F.col(key), form_column(F.col(text)).alias("form"))
 
 
-def same_look_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs of rows whose texts look the same but differ (``doc_a`` < ``doc_b``).
+def look_links(documents: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """Membership (``pos, rep``) of the rows in classes of one text, and links (``ra, rb``) between the representatives of
+    different texts that look the same, the smaller first. Only texts that have such a partner are in it.
 
     Only two 128-bit fingerprints a row are shuffled. Rows are first reduced to (form, text) variants, so any number of
-    exact copies counts once; forms with a single variant go no further. Variants of a form are paired and only then
-    replaced by their rows, so no task ever compares the copies of one text with each other. Null and empty texts are
-    left out, rows that repeat a key with another text are paired like any others but never with themselves.
+    exact copies counts once; forms with a single variant go no further. Null and empty texts are left out.
     """
     c = F.col(text)
     kept = documents.filter(c.isNotNull() & (c != "")).select(
-        F.col(key).alias("doc"), c.alias("raw"), form_column(c).alias("form")
+        F.col(key).alias("pos"), c.alias("raw"), form_column(c).alias("form")
     )
     prints = materialise(
         kept.select(
-            "doc",
+            "pos",
             F.xxhash64("form").alias("f1"),
             F.xxhash64(F.lit(1), "form").alias("f2"),
             F.xxhash64("raw").alias("r1"),
             F.xxhash64(F.lit(1), "raw").alias("r2"),
         )
     )
-    variants = prints.groupBy("f1", "f2", "r1", "r2").agg(F.count(F.lit(1)).alias("copies"))
+    variants = prints.groupBy("f1", "f2", "r1", "r2").agg(F.count(F.lit(1)).alias("copies"), F.min("pos").alias("least"))
     several = variants.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f1", "f2")
-    variants = variants.join(several, ["f1", "f2"], "left_semi")
-    a = variants.select("f1", "f2", F.col("r1").alias("a1"), F.col("r2").alias("a2"))
-    b = variants.select("f1", "f2", F.col("r1").alias("b1"), F.col("r2").alias("b2"))
-    differ = (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
-    pairs = a.join(b, ["f1", "f2"]).filter(differ)
-    rows_a = prints.select("f1", "f2", F.col("r1").alias("a1"), F.col("r2").alias("a2"), F.col("doc").alias("x"))
-    rows_b = prints.select("f1", "f2", F.col("r1").alias("b1"), F.col("r2").alias("b2"), F.col("doc").alias("y"))
-    found = pairs.join(rows_a, ["f1", "f2", "a1", "a2"]).join(rows_b, ["f1", "f2", "b1", "b2"])
-    return (
-        found.filter(F.col("x") != F.col("y"))
-        .select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
-        .distinct()
-    )
+    # a key repeated with another text is in two classes, which are told apart by the fingerprint
+    rep = F.struct("least", "r1", "r2").alias("rep")
+    variants = materialise(variants.join(several, ["f1", "f2"], "left_semi").withColumn("rep", rep))
+    members = lookup_join(prints, variants.select("f1", "f2", "r1", "r2", "copies", "rep"), ["f1", "f2", "r1", "r2"], "copies", hot_rows)
+    a, b = (variants.select("f1", "f2", F.col("rep").alias(c)) for c in ("ra", "rb"))
+    links = block_join(a, b, ["f1", "f2"], "ra", "rb").filter("ra < rb").select("ra", "rb")
+    return materialise(members.select("pos", "rep")), links
+
+
+def same_look_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pairs of rows whose texts look the same but differ (``doc_a`` < ``doc_b``).
+
+    The classes and links are those of :func:`look_links`, expanded; no task ever compares the copies of one text with each
+    other. Rows that repeat a key with another text are paired like any others but never with themselves.
+    """
+    members, links = look_links(documents, key, text)
+    return expand_pairs(members, links, "doc_a", "doc_b", within=False)
+
+
+def look_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``pos, look, variant, n_links``: of every row with a look-alike the smallest key of those that look the same, that of
+    its own text's rows, and how many other texts look the same."""
+    members, links = look_links(documents, key, text)
+    ends = links.select(F.col("ra.least").alias("look"), F.col("rb").alias("rep")).union(links.select(F.col("ra.least"), F.col("ra")))
+    ends = ends.union(links.select(F.col("rb.least"), F.col("ra"))).groupBy("rep").agg(F.min("look").alias("look"))
+    both = links.select(F.explode(F.array("ra", "rb")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    found = members.join(ends, "rep").join(both, "rep")
+    return found.select("pos", "look", F.col("rep.least").alias("variant"), "n_links")

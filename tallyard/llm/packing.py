@@ -1,6 +1,6 @@
 """Problem 9: fill containers of fixed capacity with documents, measured in tokens of a public tokenizer.
 
-Documents are packed shard by shard: a first-fit decreasing start, then a swap-based local search over the underfull bins
+Documents are packed shard by shard: a best-fit decreasing start, then a swap-based local search over the underfull bins
 that moves a document, exchanges one for one or two for one whenever that raises the sum of squared fills, until bins
 empty and no exchange helps. Only a text larger than the capacity is split, into full pieces and a rest.
 
@@ -22,12 +22,14 @@ from .tokenize import DEFAULT_FOLDER, count_column, ship_model
 
 #: About how many pieces a shard has, and the fill from which a bin of a shard is left as it is.
 SHARD, FULL = 4_000, 0.995
-#: Kinds of container a specification may list.
-MOST_CONTAINERS = 1_000
+#: Least share of the open pieces that a round must close for another to follow; otherwise all stay where they are packed.
+LEAST_CLOSED = 0.05
+#: About how many kinds of container are packed together.
+TOGETHER = 1_000
 
 
-def _first_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """First-fit decreasing with a list of free spaces kept in order (best fit among equals)."""
+def _best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Best-fit decreasing with a list of free spaces kept in order."""
     bins: list[list[int]] = []
     free: list[tuple[int, int]] = []
     for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
@@ -90,7 +92,7 @@ def _improve(a: list[int], b: list[int], sizes: list[int], space: int) -> tuple[
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """Bins (lists of item numbers) for items of at most ``capacity``. Items of size 0 lie in the first bins with others."""
-    bins = _first_fit(sizes, capacity)
+    bins = _best_fit(sizes, capacity)
     load = [sum(sizes[i] for i in b) for b in bins]
     active = [k for k in range(len(bins)) if load[k] < capacity]
     changed = True
@@ -113,8 +115,6 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
                     if not load[donor]:  # empty but for items of size 0
                         bins[taker] += bins[donor]
                         bins[donor] = []
-        if changed and len(active) > 400:
-            break  # many underfull bins: the next round sees them again
     return [b for b in bins if b]
 
 
@@ -149,13 +149,23 @@ def fill_containers(
     """
     shipped = ship_model(documents.sparkSession, folder)
     sizes = documents.select(F.col(key).cast("long").alias("doc_id"), count_column(F.col(text), shipped).alias("size"))
+    sizes = materialise(sizes)
     spec = containers.filter("capacity_tokens > 0").select("container_id", F.col("capacity_tokens").cast("int").alias("capacity"))
-    held = spec.distinct().orderBy("container_id", "capacity").limit(MOST_CONTAINERS + 1).collect()
-    if len(held) > MOST_CONTAINERS:
-        raise ValueError("too many containers")
-    each = [F.struct(F.lit(r[0]).alias("container_id"), F.lit(r[1]).alias("capacity")) for r in held]
+    spec = spec.distinct()
+    groups = max(1, -(-spec.count() // TOGETHER))
+    filled = None
+    for g in range(groups):  # each about TOGETHER kinds, whatever their number
+        held = spec.filter(F.pmod(F.xxhash64("container_id", "capacity"), F.lit(groups)) == g).orderBy("container_id", "capacity").collect()
+        done = _fill(sizes, [(r[0], r[1]) for r in held])
+        filled = done if filled is None else filled.unionByName(done)
+    return filled
+
+
+def _fill(sizes: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
+    """Pack ``doc_id, size`` into some kinds of containers, in rounds."""
+    each = [F.struct(F.lit(i).alias("container_id"), F.lit(c).alias("capacity")) for i, c in kinds]
     none = F.array().cast("array<struct<container_id: int, capacity: int>>")
-    pieces = materialise(sizes).withColumn("c", F.explode(F.array(*each) if each else none)).select("doc_id", "size", "c.*")
+    pieces = sizes.withColumn("c", F.explode(F.array(*each) if each else none)).select("doc_id", "size", "c.*")
     last = F.greatest(F.lit(0), F.ceil(F.col("size") / F.col("capacity")).cast("int") - 1)
     pieces = pieces.withColumn("piece_no", F.explode(F.sequence(F.lit(0), last)))
     rest = F.col("size") - F.col("piece_no") * F.col("capacity")
@@ -166,18 +176,15 @@ def fill_containers(
     while True:
         shards = max(1, round(count / SHARD))
         placed = materialise(_round(open_items, shards))
-        last_round = shards == 1
-        closed = placed if last_round else placed.filter(F.col("load") >= F.col("capacity") * FULL)
         name = F.concat_ws("-", F.lit(number), "shard", "bin")
-        closed = closed.select("container_id", name.alias("bin_id"), "doc_id", "piece_no", "tokens", "load")
+        named = placed.select("container_id", "capacity", name.alias("bin_id"), "doc_id", "piece_no", "tokens", "load")
+        left = named.filter(F.col("load") < F.col("capacity") * FULL)
+        remaining = 0 if shards == 1 else left.groupBy("container_id").count().agg(F.max("count")).collect()[0][0] or 0
+        last_round = shards == 1 or remaining > (1 - LEAST_CLOSED) * count
+        closed = (named if last_round else named.filter(F.col("load") >= F.col("capacity") * FULL)).drop("capacity")
         done = closed if done is None else done.unionByName(closed)
         if last_round:
             return done
-        left = placed.filter(F.col("load") < F.col("capacity") * FULL)
-        remaining = left.groupBy("container_id").count().agg(F.max("count")).collect()[0][0] or 0
-        if remaining > 0.7 * count:  # sharding again would not close many bins: keep them as they are
-            kept = left.select("container_id", name.alias("bin_id"), "doc_id", "piece_no", "tokens", "load")
-            return done.unionByName(kept)
         open_items, count, number = left.select("container_id", "capacity", "doc_id", "piece_no", "tokens"), remaining, number + 1
 
 

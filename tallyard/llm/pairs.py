@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..session import block_join
 
 
-def expand_pairs(members: DataFrame, links: DataFrame, a: str = "pos_a", b: str = "pos_b", block_rows: int = 2_000) -> DataFrame:
-    """All pairs of rows of one class or of two linked ones, the smaller key first, each once.
+def expand_pairs(
+    members: DataFrame, links: DataFrame, a: str = "pos_a", b: str = "pos_b", block_rows: int = 2_000, within: bool = True
+) -> DataFrame:
+    """All pairs of rows of two linked classes and, if ``within``, of one class, the smaller key first, each once.
 
     ``members``: ``pos, rep``; ``links``: ``ra, rb``, two different representatives. Rows of a class are paired in chunks
     of even size (:func:`block_join`), so a large class is no task of its own; the list itself is as long as its definition
@@ -23,10 +25,11 @@ def expand_pairs(members: DataFrame, links: DataFrame, a: str = "pos_a", b: str
         return block_join(one, two, [key], one_id, two_id, block_rows) if most["rep"] > block_rows else one.join(two, key)
 
     x, y = members.select("rep", F.col("pos").alias("x")), members.select("rep", F.col("pos").alias("y"))
-    within = join(x, y, "rep", "x", "y").filter("x < y").select("x", "y")
     left = join(links, x.withColumnRenamed("rep", "ra"), "ra", "rb", "x").select("rb", "x")
     across = join(left, y.withColumnRenamed("rep", "rb"), "rb", "x", "y").filter("x <> y").select("x", "y")
-    pairs = within.union(across).select(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b))
+    if within:
+        across = across.union(join(x, y, "rep", "x", "y").filter("x < y").select("x", "y"))
+    pairs = across.select(F.least("x", "y").alias(a), F.greatest("x", "y").alias(b))
     return pairs.distinct() if most["pos"] > 1 else pairs
 
 

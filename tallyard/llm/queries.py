@@ -123,6 +123,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with a look-alike, its class and the number of other texts that look the same: the result without its pairs."""
+    return lookalike.look_classes(table(spark, d, "documents"))
+
+
 def p10_form(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_form(table(spark, d, "documents"))
 

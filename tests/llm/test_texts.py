@@ -102,6 +102,9 @@ def test_pairs_against_brute_force_with_copies_nulls_and_blanks(spark):
     got = [tuple(r) for r in lookalike.same_look_pairs(frame).collect()]
     assert sorted(got) == sorted(expected) and expected == {(1, 2), (1, 8), (2, 3), (2, 8), (3, 8)}
     assert lookalike.same_look_pairs(frame.limit(0)).collect() == []
+    ends = {i for p in expected for i in p}
+    classes = {(r.pos, r.look, r.n_links) for r in lookalike.look_classes(frame).collect()}
+    assert classes == {(i, min(x for x in ends if form[x] == form[i]), len({text[x] for x in ends if form[x] == form[i]}) - 1) for i in ends}
 
 
 @settings(max_examples=60, deadline=None)
@@ -118,6 +121,16 @@ def test_packing_is_close_to_the_least_number_of_bins():
     assert len(packing.pack(sizes, 512)) <= -(-sum(sizes) // 512) * 1.02 + 1
 
 
+def test_many_open_bins_are_searched_to_the_end():
+    rng = random.Random(4)
+    sizes = [rng.randint(300, 340) for _ in range(1000)]  # two in each of 500 bins, none of them full
+    bins = packing.pack(sizes, 700)
+    assert len(bins) == 500
+    load = [sum(sizes[i] for i in b) for b in bins]
+    for a, b in ((a, b) for a in range(0, 500, 7) for b in range(500) if a != b and load[a] >= load[b]):
+        assert packing._improve(bins[a], bins[b], sizes, 700 - load[a]) is None
+
+
 def test_each_change_raises_the_fuller_bin():
     sizes = [7, 3, 5, 4, 2]
     change = packing._improve([0, 1], [2, 3, 4], sizes, 2)  # 10 held, 2 free
@@ -127,6 +140,7 @@ def test_each_change_raises_the_fuller_bin():
 
 def test_containers_hold_every_text_and_split_only_what_is_too_large(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD", 40)
+    monkeypatch.setattr(packing, "TOGETHER", 1)
     words = "pump valve pipe steel cable".split()
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(150)] + [(200, None), (201, ""), (202, "pump " * 300), (1, "pump")]
