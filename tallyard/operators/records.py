@@ -89,6 +89,21 @@ def normalised(rows: DataFrame) -> DataFrame:
     )
 
 
+def sanitised_record(rows: DataFrame) -> DataFrame:
+    """Texts and lists of texts sanitised, links with a scheme first; city and address, which are no stored columns, are dropped."""
+    changed = {}
+    for name, kind in rows.dtypes:
+        c = F.col(name)
+        if name == "website_url":
+            prefixed = F.when(c.startswith("http://") | c.startswith("https://"), c).otherwise(F.concat(F.lit("https://"), c))
+            changed[name] = F.when(c == "", c).otherwise(text.sanitised(prefixed))
+        elif kind == "string":
+            changed[name] = text.sanitised(c)
+        elif kind == "array<string>":
+            changed[name] = F.transform(c, text.sanitised)
+    return rows.withColumns(changed).drop("city", "address")
+
+
 def with_defaults(rows: DataFrame) -> DataFrame:
     """Defaults of a newly found record: names, slug, descriptions, address, ids, status."""
     t = lambda f: text.filled(F.col(f))
@@ -118,6 +133,18 @@ def category_ids(labels: Column, categories=CATEGORIES) -> Column:
     return F.transform(kept, lambda x: F.coalesce(F.try_element_at(known, x), F.try_element_at(known, F.lower(x)), x))
 
 
+def category_ids_joined(rows: DataFrame, reference: DataFrame, key: str, labels: str) -> DataFrame:
+    """``key, ids``: the same for a reference table of any size, by joins on its three kinds of names."""
+    items = rows.select(key, F.posexplode(F.filter(F.transform(labels, text.trim), lambda x: x != "")).alias("place", "label"))
+    named = F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), c.alias("name")) for i, c in enumerate((F.col("id"), F.lower("name_en"), F.col("name_ar"))))))
+    names = reference.select("id", named.alias("n")).filter("n.name is not null").select("id", "n.*")
+    first = names.groupBy("name").agg(F.min_by("id", F.struct("rank", "id")).alias("found"))
+    low = first.select(F.col("name").alias("low"), F.col("found").alias("found_low"))
+    met = items.join(first, F.col("label") == F.col("name"), "left").withColumn("low", F.lower("label")).join(low, "low", "left")
+    held = F.sort_array(F.collect_list(F.struct("place", F.coalesce("found", "found_low", "label").alias("id"))))
+    return met.groupBy(key).agg(F.transform(held, lambda x: x["id"]).alias("ids"))
+
+
 def completeness(rows: DataFrame, key: str = "pos") -> DataFrame:
     """Seven part scores (0..100), the overall score, a grade and what to add."""
     c = F.col

@@ -88,7 +88,14 @@ def city_country(spark: SparkSession, d: str) -> DataFrame:
     return t.select("pos", contact.city(F.col("city"))["city"].alias("city"), contact.country(F.col("full_address")).alias("country"))
 
 
-@query()
+_J = {f: f"({S.junk_to_null(f)})" for f in ("name_en", "phone", "email", "city")}
+_MAIL = f"CASE WHEN {S.matches('lower(' + S.trim(_J['email']) + ')', '^[^' + chr(92) + 's@]+@[^' + chr(92) + 's@]+' + chr(92) + '.[^' + chr(92) + 's@]+$')} THEN lower({S.trim(_J['email'])}) END"
+
+
+@query(
+    f"SELECT pos, coalesce({S.legal(_J['name_en'])}, {_J['name_en']}) AS name_en, coalesce({S.phone(_J['phone'])}, {_J['phone']}) AS phone,"
+    f" coalesce({_MAIL}, {_J['email']}) AS email, coalesce({S.city(_J['city'])}, {_J['city']}) AS city FROM parsed_company"
+)
 def record_normalise(spark: SparkSession, d: str) -> DataFrame:
     return records.normalised(table(spark, d, "parsed_company")).select("pos", "name_en", "phone", "email", "city")
 
@@ -256,7 +263,10 @@ def text_contacts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", contact.emails_in(c).alias("emails"), contact.phones_in(c).alias("phones"))
 
 
-@query()
+_INNER = "CASE WHEN json_valid(payload) THEN payload WHEN json_valid(regexp_extract(payload, '(?s)\\{.*\\}|\\[.*\\]')) THEN regexp_extract(payload, '(?s)\\{.*\\}|\\[.*\\]') END"
+
+
+@query(f"SELECT id, nullif({_INNER}, '') IS NOT NULL AS is_json, TRY_CAST(json_extract_string({_INNER}, '$.depth') AS INT) AS depth FROM job")
 def payload_json(spark: SparkSession, d: str) -> DataFrame:
     """Job payloads read leniently: whether they hold JSON at all, and the fields used."""
     v = text.lenient_json(F.col("payload"))

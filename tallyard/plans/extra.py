@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import dedupe, pages, query
+from ..operators.records import CATEGORIES, category_ids
 from ..session import lookup_join, table
 from . import sqltext as S
 from .pages import page_table
 from .relational import _MEMBERS, _members
+from .relational import SQL as _RELATIONAL
 
 QUERIES, SQL = {}, {}
 #: Time stamp and id of queries that take them as arguments.
@@ -70,8 +72,10 @@ def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Stored companies a listing may be: same site, else same name; at most fifty each (the limit is the feature)."""
     new = table(spark, d, "parsed_company").select("pos", urls.domain(F.col("website_url")).alias("site"), text.filled(F.lower("name_en")).alias("name"))
     old = table(spark, d, "company").select(F.col("pos").alias("candidate"), urls.domain(F.col("website_url")).alias("site"), text.filled(F.lower("name_en")).alias("name"))
-    by_site = new.filter("site is not null").select("pos", "site").join(old.select("candidate", "site"), "site").select("pos", "candidate")
-    by_name = new.filter("site is null").select("pos", "name").join(old.select("candidate", "name"), "name").select("pos", "candidate")
+    # a listing is met by one key only, so no more than the first fifty companies of a key can count
+    first = lambda key: query.top_per_group(old.filter(F.col(key).isNotNull()).select("candidate", key), [key], [F.asc("candidate")], 50)
+    by_site = new.filter("site is not null").select("pos", "site").join(first("site"), "site").select("pos", "candidate")
+    by_name = new.filter("site is null").select("pos", "name").join(first("name"), "name").select("pos", "candidate")
     both = by_site.union(by_name).distinct()
     return query.top_per_group(both, ["pos"], [F.asc("candidate")], 50)
 
@@ -143,15 +147,12 @@ def seed_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "seed").select("pos", F.array_join(held, ",").alias("tags"))
 
 
-@plan()
+@plan("SELECT id, string_agg(coalesce(source_url, 'https://directory.example/'), ' ' ORDER BY pos) AS urls, count(*) AS n_pages FROM company GROUP BY 1")
 def raw_bundles(spark: SparkSession, d: str) -> DataFrame:
-    """The fetched pages of each company in order, as one row; a crawl fetches at most twenty pages of a site."""
-    from pyspark.sql import window as W
-
+    """The fetched pages of each company in order, as one row (a crawl bounds the pages of a site)."""
     p = page_table(spark, d).join(table(spark, d, "company").select("pos", "id"), "pos")
-    p = p.withColumn("place", F.row_number().over(W.Window.partitionBy("id").orderBy("pos")))
-    page = F.struct("place", "url", F.length("html").alias("size"))
-    return p.filter("place <= 20").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(page)), lambda x: x["url"]).alias("urls"))
+    held = F.sort_array(F.collect_list(F.struct("pos", "url")))
+    return p.groupBy("id").agg(F.array_join(F.transform(held, lambda x: x["url"]), " ").alias("urls"), F.count(F.lit(1)).alias("n_pages"))
 
 
 _API = "struct<data: struct<result: struct<data: array<struct<name: string, subdomain: string, details: string>>>>, result: struct<data: array<struct<name: string, subdomain: string, details: string>>>>"
@@ -178,8 +179,8 @@ def markdown_records(spark: SparkSession, d: str) -> DataFrame:
 
 def markdown_sections(rows: DataFrame, key: str, md: str) -> DataFrame:
     """``name, website, email, phone, location`` of every ``###`` section; the first of a repeated name in a text."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), F.col(md)), r"\n\s*###\s+"), 2, 100_000)
-    s = rows.select(key, F.posexplode(parts).alias("place", "section"))
+    split = F.split(F.concat(F.lit("\n"), F.col(md)), r"\n\s*###\s+")
+    s = rows.select(key, F.posexplode(split).alias("place", "section")).filter("place > 0")
     name = text.trim(F.substring_index("section", "\n", 1))
     label = lambda n: text.labelled(F.col("section"), n)
     s = s.select(key, "place", name.alias("name"), urls.canonical(label("Website")).alias("website"), label("Email").alias("email"), label("Phone").alias("phone"), label("Location").alias("location"))
@@ -187,22 +188,52 @@ def markdown_sections(rows: DataFrame, key: str, md: str) -> DataFrame:
     return query.first_per_key(s, [key, "low"], "place").select(key, "name", "website", "email", "phone", "location")
 
 
-@plan()
+_SENT = ("logo_url", "linkedin_url", "phone", "email", "description_en", "description_ar", "instagram_url", "facebook_url")
+_CASES = " ".join(f"WHEN {S.lit(x)} THEN {S.lit(i)}" for i, _, ar in CATEGORIES for x in (i, ar))
+_LOWER = " ".join(f"WHEN {S.lit(en.lower())} THEN {S.lit(i)}" for i, en, _ in CATEGORIES)
+_MAPPED = f"list_transform(list_filter(list_transform(categories, lambda x: {S.trim('x')}), lambda x: x <> ''), lambda x: CASE x {_CASES} ELSE CASE lower(x) {_LOWER} ELSE x END END)"
+
+
+@plan(
+    f"SELECT pos, {', '.join(f'nullif({f}, {S.lit(str())}) AS {f}' for f in _SENT)}, {S.trim('nullif(full_address, ' + S.lit('') + ')')} AS full_address,"
+    f" array_to_string({_MAPPED}, '|') AS categories, array_to_string(products, '|') AS products, true AS is_vat_registered, confidence_score FROM parsed_company"
+)
 def enrichment_updates(spark: SparkSession, d: str) -> DataFrame:
     """Whitelisted, typed fields of JSON updates (made from listings): blanks dropped, lists of texts only."""
     t = table(spark, d, "parsed_company")
-    answer = F.to_json(F.struct("phone", "email", "full_address", "categories", "products", F.lit("yes").alias("is_vat_registered"), F.lit(1).alias("unknown")))
-    return enrichment(t.select("pos", answer.alias("answer")), "pos", "answer")
+    sent = (*_SENT, "full_address", "categories", "products", "confidence_score", F.lit(" Yes").alias("is_vat_registered"), F.lit(1).alias("unknown"))
+    out = enrichment(t.select("pos", F.to_json(F.struct(*sent)).alias("answer")), "pos", "answer")
+    return out.select("pos", *_SENT, "full_address", F.array_join("categories", "|").alias("categories"), F.array_join("products", "|").alias("products"), "is_vat_registered", "confidence_score")
+
+
+# Fields an enrichment may change, by their kind.
+ENRICHED_TEXTS = (
+    "logo_url", "linkedin_url", "sales_email", "procurement_email", "phone", "email", "seo_title_en", "seo_title_ar",
+    "seo_description_en", "seo_description_ar", "description_en", "description_ar", "instagram_url", "twitter_url",
+    "facebook_url", "cr_number", "vat_number", "chamber_commerce_id", "procurement_portal_url",
+)
+ENRICHED_LISTS = ("secondary_emails", "secondary_phones", "secondary_websites", "secondary_linkedin", "secondary_socials")
 
 
 def enrichment(rows: DataFrame, key: str, answer: str) -> DataFrame:
-    schema = "struct<phone: string, email: string, full_address: string, categories: array<string>, products: array<string>, is_vat_registered: string>"
-    v = F.from_json(answer, schema)
+    """The thirty fields of an update that may be changed; all others are left out, empty ones are null."""
+    lists = (*ENRICHED_LISTS, "categories", "products", "fields")
+    kinds = [f"{f}: string" for f in (*ENRICHED_TEXTS, "full_address", "is_vat_registered")] + [f"{f}: array<string>" for f in lists]
+    v = F.from_json(answer, f"struct<{', '.join(kinds)}, confidence_score: double>")
     low = F.lower(text.trim(v["is_vat_registered"]))
     flag = F.when(low.isin("true", "yes", "1"), True).when(low.isin("false", "no", "0"), False)
-    kept = lambda f: F.filter(F.transform(v[f], text.trim), lambda x: x != "").alias(f)
-    texts = [F.when(v[f] != "", text.trim(v[f])).alias(f) for f in ("phone", "email", "full_address")]
-    return rows.select(key, *texts, kept("categories"), kept("products"), flag.alias("is_vat_registered"))
+    only = lambda f: F.filter(v[f], lambda x: x.isNotNull())
+    return rows.select(
+        key,
+        *(F.nullif(v[f], F.lit("")).alias(f) for f in ENRICHED_TEXTS),
+        text.trim(F.nullif(v["full_address"], F.lit(""))).alias("full_address"),
+        category_ids(only("categories")).alias("categories"),
+        only("products").alias("products"),
+        F.filter(F.transform(only("fields"), text.trim), lambda x: x != "").alias("fields"),
+        *(v[f].alias(f) for f in ENRICHED_LISTS),
+        flag.alias("is_vat_registered"),
+        v["confidence_score"].alias("confidence_score"),
+    )
 
 
 @plan(
@@ -225,10 +256,30 @@ def weak_pages(spark: SparkSession, d: str) -> DataFrame:
     return lookup_join(t, s, ["source_url"], "n").select("pos", F.col("n").alias("page_rows"))
 
 
-@plan()
+@plan(
+    f"WITH v AS ({_RELATIONAL['majority_vote']}), {_MEMBERS}, i AS (SELECT group_id, string_agg(id, ',' ORDER BY place) AS source_ids, count(*) AS n FROM m GROUP BY 1)"
+    f" SELECT group_id, source_ids, {', '.join(f'(SELECT value FROM v WHERE v.group_id = i.group_id AND field = {S.lit(f)}) AS {f}' for f in ('name_en', 'city', 'phone'))} FROM i WHERE n >= 2"
+)
 def resolved_entities(spark: SparkSession, d: str) -> DataFrame:
     """Duplicate groups resolved by majority, with the ids that went in: the merge log."""
-    m = _members(spark, d)
-    votes = dedupe.majority(m, ("name_en", "city", "phone")).groupBy("group_id").pivot("field", ["name_en", "city", "phone"]).agg(F.first("value"))
-    ids = m.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("source_ids"))
-    return ids.filter(F.size("source_ids") >= 2).join(votes, "group_id", "left")
+    return resolved(_members(spark, d), "majority", ("name_en", "city", "phone"))
+
+
+@plan(
+    f"WITH v AS ({_RELATIONAL['prefer_latest']}), {_MEMBERS}, i AS (SELECT group_id, string_agg(id, ',' ORDER BY place) AS source_ids, count(*) AS n FROM m GROUP BY 1)"
+    " SELECT i.group_id, source_ids, v.name_en, v.city, v.phone FROM i JOIN v USING (group_id) WHERE n >= 2"
+)
+def resolved_by_latest(spark: SparkSession, d: str) -> DataFrame:
+    return resolved(_members(spark, d), "latest", ("name_en", "city", "phone"))
+
+
+def resolved(members: DataFrame, strategy: str, fields: tuple[str, ...]) -> DataFrame:
+    """Groups of two or more resolved by a strategy (``master``, ``latest`` or ``majority``), with the ids that went in."""
+    if strategy == "majority":
+        values = dedupe.majority(members, fields).groupBy("group_id").pivot("field", list(fields)).agg(F.first("value"))
+    elif strategy in ("master", "latest"):
+        values = dedupe.preferred(members, fields, latest=strategy == "latest")
+    else:
+        raise ValueError(f"unknown strategy {strategy}")
+    ids = members.groupBy("group_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]), ",").alias("source_ids"), F.count(F.lit(1)).alias("_n"))
+    return ids.filter("_n >= 2").drop("_n").join(values, "group_id", "left")

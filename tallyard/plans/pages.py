@@ -103,7 +103,9 @@ def stream_counters(spark: SparkSession, d: str) -> DataFrame:
     return live.run_to_end(live.counters(live.source(spark, f"{d}/events.parque[t]", like), ["event_type"], "value"), "complete")
 
 
-@plan()
+@plan(
+    "SELECT * FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+)
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     like = table(spark, d, "events")
     stream = live.source(spark, f"{d}/events.parque[t]", like).withColumn("ts", F.col("ts").cast("timestamp"))

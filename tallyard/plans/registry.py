@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import expressions, extra, pages, relational
+from . import expressions, extra, lifecycle, pages, relational
 
-MODULES = (expressions, relational, pages, extra)
+MODULES = (expressions, relational, pages, extra, lifecycle)
 FLAGSHIP = "completeness_score"
 
 

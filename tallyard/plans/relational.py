@@ -12,6 +12,8 @@ from ..sources import exports
 from . import sqltext as S
 
 QUERIES, SQL = {}, {}
+#: Most rows of a reference table that become a literal map in the plan.
+LITERAL_ROWS = 10_000
 
 
 def plan(sql: str | None = None):
@@ -187,10 +189,13 @@ def merged_records(spark: SparkSession, d: str) -> DataFrame:
     " LEFT JOIN canonical_category c ON c.name_ar = label GROUP BY pos"
 )
 def category_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Category labels as ids, in place, by a literal map of the reference table (its size is fixed)."""
-    reference = [tuple(r) for r in table(spark, d, "canonical_category").select("id", "name_en", "name_ar").limit(10_000).collect()]
-    ids = records.category_ids(F.col("categories"), reference)
-    t = table(spark, d, "parsed_company").select("pos", ids.alias("ids")).filter(F.size("ids") > 0)
+    """Category labels as ids, in place: by a literal map of a small reference table, by joins with a large one."""
+    reference = table(spark, d, "canonical_category").select("id", "name_en", "name_ar")
+    t = table(spark, d, "parsed_company").select("pos", "categories")
+    if reference.count() <= LITERAL_ROWS:
+        t = t.select("pos", records.category_ids(F.col("categories"), [tuple(r) for r in reference.collect()]).alias("ids")).filter(F.size("ids") > 0)
+    else:
+        t = records.category_ids_joined(t, reference, "pos", "categories")
     return t.select("pos", F.array_join("ids", "|").alias("ids"))
 
 
@@ -390,12 +395,10 @@ _SLUG = S.slug("name_en")
 
 @plan(f"WITH s AS (SELECT pos, {_SLUG} AS base FROM parsed_company), r AS (SELECT pos, base, row_number() OVER (PARTITION BY base ORDER BY pos) - 1 AS k FROM s) SELECT pos, CASE WHEN k > 0 THEN base || '-' || k ELSE base END AS slug FROM r")
 def unique_slugs(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import window as W
-
     t = table(spark, d, "parsed_company").select("pos", text.slug(F.col("name_en")).alias("base"))
-    k = F.row_number().over(W.Window.partitionBy("base").orderBy("pos")) - 1
-    t = t.withColumn("k", k)
-    return t.select("pos", F.when(F.col("k") > 0, F.concat_ws("-", "base", F.col("k").cast("string"))).otherwise(F.col("base")).alias("slug"))
+    numbered = exports.numbered_in_groups(t, "base", "pos")
+    k = F.col("k") - 1
+    return numbered.select("pos", F.when(k > 0, F.concat_ws("-", "base", k.cast("string"))).otherwise(F.col("base")).alias("slug"))
 
 
 @plan(f"WITH f AS (SELECT source_url, {S.filled('phone')} AS phone, confidence_score, pos FROM parsed_company WHERE NOT {S.blank('phone')}), b AS (SELECT source_url, arg_max(phone, (confidence_score, -pos)) AS found FROM f WHERE confidence_score IS NOT NULL GROUP BY 1) SELECT p.pos, CASE WHEN {S.blank('p.phone')} THEN b.found ELSE p.phone END AS phone FROM parsed_company p LEFT JOIN b USING (source_url)")

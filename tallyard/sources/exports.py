@@ -118,6 +118,28 @@ def with_ids(rows: DataFrame, order: str, last: int, alias: str = "new_id") -> D
     return kept.withColumn(alias, (offset[F.col("_p")] + F.col("_k") + 1).cast("long")).drop("_p", "_k")
 
 
+def numbered_in_groups(rows: DataFrame, group: str, order: str, alias: str = "k") -> DataFrame:
+    """Number the rows of each group from 1 in the order of a column, however large a group is.
+
+    Rows are range-partitioned by (group, order), so a large group spreads over neighbouring ranges; each range numbers its
+    part, and the groups that cross a border, at most two a range, get the counts of the ranges before as an offset.
+    """
+    from pyspark.sql import window as W
+
+    from ..session import materialise
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(rows.repartitionByRange(parts, group, order).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    crossing = counts.groupBy(group).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(group)
+    same = counts.alias("x").join(crossing.alias("y"), F.col(f"x.{group}").eqNullSafe(F.col(f"y.{group}")), "left_semi")
+    before = W.Window.partitionBy(group).orderBy("_p").rowsBetween(W.Window.unboundedPreceding, -1)
+    offsets = same.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.Window.partitionBy("_p", group).orderBy(order))
+    met = ranged.withColumn("_own", own).join(F.broadcast(offsets), (F.col("_p") == F.col("_q")) & F.col(group).eqNullSafe(F.col("_g")), "left")
+    return met.select(*rows.columns, (F.coalesce("_before", F.lit(0)) + F.col("_own")).cast("long").alias(alias))
+
+
 def swap_in(table: DataFrame, path: str) -> str:
     """Write a new version beside a table's path and return where it is; the caller switches over, readers keep theirs."""
     target = f"{path}.v-{uuid.uuid4().hex[:12]}"

@@ -243,3 +243,44 @@ def test_blocks_of_any_size_keep_all_pairs(spark, block_rows):
     got = sorted(tuple(r) for r in block_join(a, b, ["k"], "x", "y", block_rows).collect())
     assert got == sorted((k, x, y) for k, x in left for j, y in right if k == j and k)
     assert block_join(a.limit(0), b, ["k"], "x", "y", block_rows).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_large_groups_are_numbered_over_ranges(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        rows = [("", i) for i in range(40)] + [("a", i) for i in range(3)] + [(None, i) for i in range(9)] + [("b", 7)]
+        random.Random(2).shuffle(rows)
+        got = exports.numbered_in_groups(spark.createDataFrame(rows, "g string, o int"), "g", "o").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {(g, o, sorted(x for h, x in rows if h == g).index(o) + 1) for g, o in rows}
+    assert {tuple(r) for r in got} == want and len(got) == len(rows)
+
+
+def test_labels_by_joins_equal_labels_by_a_map(spark):
+    from tallyard.operators import records
+
+    reference = [("k01", "Pumps", "مضخات"), ("k02", "k01", "صمامات"), ("k03", "Doors", None)]
+    rows = [(1, [" pumps ", "k02", "x", ""]), (2, ["مضخات", "DOORS", "k01"]), (3, []), (4, None)]
+    t = spark.createDataFrame(rows, "pos int, labels array<string>")
+    joined = records.category_ids_joined(t, spark.createDataFrame(reference, "id string, name_en string, name_ar string"), "pos", "labels")
+    mapped = t.select("pos", records.category_ids(F.col("labels"), [(a, b, c or "-") for a, b, c in reference]).alias("ids")).filter(F.size("ids") > 0)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, mapped.collect())) == [(1, ["k01", "k02", "x"]), (2, ["k01", "k03", "k01"])]
+
+
+def test_failing_doubles_the_wait_until_the_last_attempt(spark):
+    from tallyard.operators import jobs
+
+    now = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    t = spark.createDataFrame([("a", 0, 5), ("b", 3, 5), ("c", 4, 5), ("d", None, None)], "id string, attempts int, max_attempts int")
+    got = {r.id: (r.status, r.attempts, r.scheduled_at.minute * 60 + r.scheduled_at.second) for r in jobs.failed(t, F.lit("x"), now).collect()}
+    assert got == {"a": ("pending", 1, 1), "b": ("pending", 4, 8), "c": ("dead_letter", 5, 0), "d": ("pending", 1, 1)}
+
+
+def test_unknown_strategies_are_an_error(spark):
+    from tallyard.plans import extra
+
+    with pytest.raises(ValueError):
+        extra.resolved(spark.range(0), "newest", ("a",))
