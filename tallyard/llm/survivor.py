@@ -159,8 +159,7 @@ def uncut_texts(texts: DataFrame) -> DataFrame:
     following = W.Window.partitionBy("at").orderBy("group_id", "w")
     after = F.struct(F.lead("group_id").over(following).alias("g"), F.lead("w").over(following).alias("t"))
     heads = ranged.groupBy("at").agg(F.min(F.struct("group_id", "w")).alias("head"))
-    nearest = heads.alias("x").join(heads.alias("y"), F.col("x.at") < F.col("y.at")).groupBy(F.col("x.at").alias("at"))
-    nearest = nearest.agg(F.min("y.head").alias("next"))
+    nearest = heads.select("at", F.lead("head").over(W.Window.orderBy("at")).alias("next"))  # as many rows as ranges
     rows = ranged.withColumn("after", after).join(F.broadcast(nearest), "at", "left")
     group = F.coalesce("after.g", "next.group_id")
     text = F.when(F.col("after.g").isNotNull(), F.col("after.t")).otherwise(F.col("next.w"))
