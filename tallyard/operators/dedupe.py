@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def best_records(rows: DataFrame, key: Column | None = None, pos: str = "pos") -
     return keyed.groupBy("key").agg(best, F.min(pos).alias("first_pos"), F.count(F.lit(1)).alias("n_rows")).select("key", "first_pos", "n_rows", "r.*")
 
 
-#: Letters of a q-gram of the similar-name join.
+#: Letters of a q-gram of a prefix filter.
 GRAM = 3
 
 
@@ -68,33 +69,233 @@ def gram_prefix(name: str, rank: dict[str, int]) -> list[str]:
     return found[: GRAM * d + 1] if d else []
 
 
+#: Most letters of a chunk of the similar-name join, places of the table of gram counts, bits of a letter group in a signature.
+CHUNK, PLACES, GROUP_BITS = 5, 1 << 18, 4
+#: Bits of the set of posted keys; last place of a chunk that is told apart.
+POSTED_BITS, LAST_PLACE = 1 << 26, 0xFFFF
+#: Most chunks of a name that are chosen by their counts, which takes time by the square of the length.
+MOST_CHOSEN = 40
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def allowed_edits(length: int) -> int:
+    """Most edits between a name of ``length`` letters and a shorter or equal one whose similarity is above 0.85."""
+    return max(0, math.ceil(0.15 * length - 1e-9) - 1)
+
+
+def chunk_size(length: int) -> int:
+    """Letters of each of the disjoint chunks, one more than the allowed edits, that fit into a name; 0 for none."""
+    d = allowed_edits(length)
+    return min(CHUNK, length // (d + 1)) if d else 0
+
+
+def _by_length(names: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``length, places, letters``: the names of each length as rows of a matrix of code points."""
+    sizes = np.array([len(n) for n in names], dtype=np.int64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        held = "".join(names[i] for i in at).encode("utf-32-le", "surrogatepass")
+        yield int(size), at, np.frombuffer(held, dtype="<u4").reshape(len(at), size).astype(np.uint64)
+
+
+def _gram_hashes(letters: np.ndarray, q: int) -> np.ndarray:
+    """Hash of the q letters from each place of each name."""
+    n = letters.shape[1] - q + 1
+    with np.errstate(over="ignore"):
+        h = np.full((len(letters), n), q, dtype=np.uint64)
+        for k in range(q):
+            h = (h ^ letters[:, k : k + n]) * _MULTIPLIER
+            h ^= h >> np.uint64(29)
+    return h
+
+
+def _rarest(cost: np.ndarray, q: int, wanted: int) -> np.ndarray:
+    """Places of ``wanted`` disjoint grams of q letters of each row whose sum of costs is least; evenly spread in very long names."""
+    rows, n = cost.shape
+    if wanted > MOST_CHOSEN:
+        return np.tile(np.arange(wanted) * ((n + q - 1) // wanted), (rows, 1))
+    best = np.zeros((rows, n + q))  # of the grams that begin before a place
+    takes = []
+    for _ in range(wanted):
+        after, take = np.full((rows, n + q), np.inf), np.zeros((rows, n), dtype=bool)
+        for i in range(n):
+            with_it = best[:, i] + cost[:, i]
+            # best[:, i] holds the grams that end at i or before, after[:, i + q] those that end at i + q or before
+            left_out = after[:, i + q - 1]
+            take[:, i] = with_it < left_out
+            after[:, i + q] = np.where(take[:, i], with_it, left_out)
+        takes.append(take)
+        best = after
+    out = np.zeros((rows, wanted), dtype=np.int64)
+    end = np.full(rows, n + q - 1)
+    each = np.arange(rows)
+    for k in range(wanted - 1, -1, -1):
+        for i in range(n - 1, -1, -1):
+            now = (end >= i + q) & takes[k][:, i] & (out[:, k] == 0)
+            out[now, k] = i + 1
+        end = out[:, k] - 1
+    return out - 1
+
+
+def _marked(hashes: np.ndarray, salt: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Key of each hash in the 48 upper bits, its place in the name in the 16 lower ones (the last of them: that or more)."""
+    with np.errstate(over="ignore"):
+        h = (hashes ^ salt[:, None]) * _MULTIPLIER
+        h ^= h >> np.uint64(32)
+    return (h << np.uint64(16)) | np.minimum(places, LAST_PLACE).astype(np.uint64)
+
+
+def _lists(n: int, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """``n`` lists from ``list, value`` of all their values."""
+    of = np.concatenate([np.zeros(0, dtype=np.int64), *(x for x, _ in found)])
+    flat = np.concatenate([np.zeros(0, dtype=np.int64), *(v.view(np.int64) for _, v in found)])
+    ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[np.argsort(of, kind="stable")], pa.int64()))
+
+
+def chunk_keys(names: list[str], salt: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Keys of disjoint chunks of each name, one more than the allowed edits, of those the ones rarest by ``counts``."""
+    found = []
+    for size, at, letters in _by_length(names):
+        q, wanted = chunk_size(size), allowed_edits(size) + 1
+        if q:
+            hashes = _gram_hashes(letters, q)
+            places = _rarest(counts[hashes % np.uint64(PLACES)].astype(np.float64), q, wanted)
+            keys = _marked(np.take_along_axis(hashes, places, axis=1), salt[at], places)
+            found.append((np.repeat(at, wanted), keys.ravel()))
+    return _lists(len(names), found)
+
+
+def gram_keys(names: list[str], salt: np.ndarray, posted: np.ndarray) -> pa.Array:
+    """Keys of all grams of each name as long as the chunks of a longer or equal name that it may be similar to.
+
+    ``posted`` has a bit for each remainder of the keys of the chunks; grams without theirs meet nothing and are left out.
+    """
+    found = []
+    for size, at, letters in _by_length(names):
+        longer = range(size, int(size / 0.85) + 2)
+        for q in sorted({chunk_size(n) for n in longer if n - size <= allowed_edits(n)} - {0}):
+            if q <= size:
+                keys = _marked(_gram_hashes(letters, q), salt[at], np.arange(size - q + 1))
+                bit = (keys >> np.uint64(16)) % np.uint64(POSTED_BITS)
+                held = (posted[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                found.append((np.broadcast_to(at[:, None], keys.shape)[held], keys[held]))
+    return _lists(len(names), found)
+
+
+def signatures(names: list[str]) -> np.ndarray:
+    """Sixteen groups of letters, each with as many bits as letters of it (up to four): an edit changes one bit each way."""
+    out = np.zeros(len(names), dtype=np.uint64)
+    for _, at, letters in _by_length(names):
+        bits = np.zeros(len(at), dtype=np.uint64)
+        groups = letters % np.uint64(16)
+        for g in range(16):
+            n = np.minimum((groups == g).sum(axis=1), GROUP_BITS).astype(np.uint64)
+            bits |= ((np.uint64(1) << n) - np.uint64(1)) << np.uint64(g * GROUP_BITS)
+        out[at] = bits
+    return out.view(np.int64)
+
+
+def gram_counts(named: DataFrame) -> np.ndarray:
+    """How many grams of all names fall on each of ``PLACES`` places: a table of one size, whatever the letters."""
+
+    @F.arrow_udf("array<int>")
+    def places(names: pa.Array) -> pa.Array:
+        held = names.to_pylist()
+        found = []
+        for size, at, letters in _by_length(held):
+            if chunk_size(size):
+                hashes = _gram_hashes(letters, chunk_size(size)) % np.uint64(PLACES)
+                found.append((np.repeat(at, hashes.shape[1]), hashes.ravel()))
+        return _lists(len(held), found).cast(pa.list_(pa.int32()))
+
+    return _table(named.select(F.explode(places("name")).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("v")), PLACES)
+
+
+def posted_bits(posted: DataFrame) -> np.ndarray:
+    """The set of the posted keys' remainders, as bits of a table of one size."""
+    bit = posted.select(F.pmod("key", F.lit(POSTED_BITS)).cast("int").alias("bit"))
+    word = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, bit & 63))").alias("v"))
+    return _table(word, POSTED_BITS >> 6).view(np.uint64)
+
+
+def _table(rows: DataFrame, size: int) -> np.ndarray:
+    """``size`` numbers, those of the rows ``at, v`` and 0 elsewhere."""
+    table, held = np.zeros(size, dtype=np.int64), rows.toArrow()
+    table[held["at"].to_numpy()] = held["v"].to_numpy()
+    return table
+
+
 def similar_name_pairs(rows: DataFrame) -> DataFrame:
     """``city, name_a, name_b, confidence``: different bare names of one city that the name test accepts above 0.7.
 
-    ``rows`` has city and name; each distinct pair of them is compared once. Candidates share one of their rarest q-grams
-    (a prefix filter, exact for the similarity above 0.85 and for containment, which then needs a length ratio above
-    0.875). The frequencies of q-grams are counted over all names; there are at most letters to the power of 3 of them.
+    ``rows`` has city and name; each distinct pair of them is compared once. Of the longer name of a pair, one chunk more is
+    posted than edits are allowed, and an edit can change one of them only: the shorter name, all grams of which are looked
+    up, has one of them. That is exact for the similarity above 0.85 and for containment, which then needs a length ratio
+    above 0.875. The chunks are the rarest, counted over all names in a table of one size, so words of a trade hardly meet.
+    Places and letter counts, other lower bounds of the edits, are compared before the names. A chunk of many names is cut into parts.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = materialise(rows.filter("city is not null and length(name) > 0").select("city", "name").distinct().repartition(parts))
-    at = F.sequence(F.lit(1), F.greatest(F.length("name") - (GRAM - 1), F.lit(1)))
-    counted = named.select(F.explode(F.transform(at, lambda i: F.substring("name", i, F.lit(GRAM)))).alias("g")).groupBy("g").count()
-    rank = spark.sparkContext.broadcast({r[0]: r[1] for r in counted.collect()})
-
-    @F.arrow_udf("array<string>")
-    def keys(names: pa.Array) -> pa.Array:
-        return pa.array([gram_prefix(n, rank.value) for n in names.to_pylist()], pa.list_(pa.string()))
-
-    posted = named.select("city", "name", F.length("name").alias("size"), F.explode(keys("name")).alias("key"))
-    a = posted.select("city", "key", F.col("name").alias("name_a"), F.col("size").alias("size_a"))
-    b = posted.select("city", "key", F.col("name").alias("name_b"), F.col("size").alias("size_b"))
-    close = F.least("size_a", "size_b") >= 0.85 * F.greatest("size_a", "size_b")
-    met = a.join(b, ["city", "key"]).filter((F.col("name_a") < F.col("name_b")) & close).select("city", "name_a", "name_b").distinct()
-    tested = met.withColumn("m", text.same_company(F.col("name_a"), F.col("name_b"))).filter("m.matches and m.confidence > 0.7")
+
+    @F.arrow_udf("bigint")
+    def signature(names: pa.Array) -> pa.Array:
+        return pa.array(signatures(names.to_pylist()), pa.int64())
+
+    named = rows.filter("city is not null and length(name) > 0").select("city", "name").distinct().repartition(parts)
+    named = materialise(named.select(F.monotonically_increasing_id().alias("id"), "city", "name", signature("name").alias("sig")))
+    counts = spark.sparkContext.broadcast(gram_counts(named))
+
+    def salts(of: pa.Array) -> np.ndarray:
+        return of.to_numpy(zero_copy_only=False).view(np.uint64)
+
+    @F.arrow_udf("array<bigint>")
+    def chunks(names: pa.Array, city: pa.Array) -> pa.Array:
+        return chunk_keys(names.to_pylist(), salts(city), counts.value)
+
+    @F.arrow_udf("array<bigint>")
+    def grams_(names: pa.Array, city: pa.Array) -> pa.Array:
+        return gram_keys(names.to_pylist(), salts(city), bits.value)
+
+    def side(keys: Column, s: str) -> DataFrame:
+        rows = named.select(F.explode(keys).alias("k"), F.col("id").alias(s), F.length("name").alias(f"size_{s}"), F.col("sig").alias(f"sig_{s}"))
+        at = F.col("k").bitwiseAND(F.lit(LAST_PLACE)).cast("int").alias(f"at_{s}")
+        return rows.select(F.shiftrightunsigned("k", 16).alias("key"), at, s, f"size_{s}", f"sig_{s}")
+
+    city = F.xxhash64("city")
+    posted = materialise(side(chunks("name", city), "a"))
+    bits = spark.sparkContext.broadcast(posted_bits(posted))
+    met = _part_join(posted, side(grams_("name", city), "b"))
+    most = (F.ceil(0.15 * F.col("size_a") - 1e-9) - 1).cast("int")
+    before = F.col("at_a") - F.col("at_b")
+    moved = F.abs(before) + F.abs(F.col("size_a") - F.col("size_b") - before)  # at least so many edits before the chunk and behind it
+    placed = (F.greatest("at_a", "at_b") == LAST_PLACE) | (moved <= most)
+    more = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(y))) <= most
+    ordered = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
+    met = met.filter(ordered & (F.col("size_a") - F.col("size_b") <= most) & placed & more("sig_a", "sig_b") & more("sig_b", "sig_a"))
+    met = materialise(met.select("a", "b").distinct())
+    one = named.select(F.col("id").alias("a"), "city", F.col("name").alias("x"))
+    two = named.select(F.col("id").alias("b"), F.col("city").alias("city_b"), F.col("name").alias("y"))
+    pairs = met.join(one, "a").join(two, "b").filter("city = city_b")
+    pairs = pairs.filter(F.expr("levenshtein(x, y, cast(ceil(0.15D * greatest(length(x), length(y)) - 1e-9D) - 1 as int)) >= 0"))
+    pairs = pairs.select("city", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))
+    tested = pairs.withColumn("m", text.same_company(F.col("name_a"), F.col("name_b"))).filter("m.matches and m.confidence > 0.7")
     return tested.select("city", "name_a", "name_b", F.col("m.confidence").alias("confidence"))
 
 
+def _part_join(posted: DataFrame, asked: DataFrame, part_rows: int = 2_000) -> DataFrame:
+    """Join on ``key``; a key with more than ``part_rows`` posted rows is cut into parts, each of which meets all that ask."""
+    hot = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part_rows)
+    hot = materialise(hot.select("key", F.ceil(F.col("n") / part_rows).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return posted.join(asked, "key")
+    cut = posted.join(F.broadcast(hot), "key", "left")
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    asked = asked.join(F.broadcast(hot), "key", "left").withColumn("part", every).drop("parts")
+    return cut.join(asked, ["key", "part"])
+
+
 def link_keys(rows: DataFrame, pos: str = "pos") -> DataFrame:
     """``pos, key, reason, confidence``: what records have in common, linear in the rows.
 

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,6 +79,39 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def trade_names(rng, n):
+    part = lambda k: "".join(rng.choice("bdfghklmnrstwz") + rng.choice("aiu") for _ in range(k))
+    return [f"{part(6)} al {part(9)} contracting" for _ in range(n)]
+
+
+def test_similar_names_of_one_trade_seldom_meet():
+    names, salt = trade_names(random.Random(6), 400), np.zeros(400, dtype=np.uint64)
+    counts = np.bincount([g for n in names for _, _, m in dedupe._by_length([n]) for g in (dedupe._gram_hashes(m, dedupe.CHUNK) % np.uint64(dedupe.PLACES)).ravel().tolist()], minlength=dedupe.PLACES)
+    every = ~np.zeros(dedupe.POSTED_BITS >> 6, dtype=np.uint64)
+    holders = {}
+    for i, keys in enumerate(dedupe.gram_keys(names, salt, every).to_pylist()):
+        for k in keys:
+            holders.setdefault(k >> 16, set()).add(i)
+    met = {(i, j) for i, keys in enumerate(dedupe.chunk_keys(names, salt, counts).to_pylist()) for k in keys for j in holders[k >> 16]}
+    assert len(met) < 0.05 * 400 * 400
+
+
+def test_similar_names_are_those_of_all_pairs(spark):
+    rng = random.Random(7)
+    names = trade_names(rng, 8)
+    names += [f"{n[:5]}{n[6:]}" for n in names[:4]] + [f"{n[:3]}x{n[4:11]}y{n[11:]}" for n in names[2:6]] + [f"{n} ksa" for n in names[5:]]
+    names += ["abcdefg", "abcdefh", "abcdef", "bcdefg", "تجارة عامة", "تجارة عامه", "ab", "", "a" * 300, "a" * 280 + "b" * 9, "b" + "a" * 299]
+    table = spark.createDataFrame([(c, n) for n in names for c in ("x", "x", "y")] + [(None, names[0])], "city string, name string")
+
+    def near(a, b):
+        if a in b or b in a:
+            return min(len(a), len(b)) / max(len(a), len(b)) * 0.8 > 0.7
+        return (max(len(a), len(b)) - levenshtein(a, b)) / max(len(a), len(b)) > 0.85
+
+    expected = sorted((c, a, b) for c in "xy" for a in names for b in names if a and a < b and near(a, b))
+    assert sorted((r.city, r.name_a, r.name_b) for r in dedupe.similar_name_pairs(table).collect()) == expected and expected
+
+
 def test_duplicate_groups_are_those_of_the_sequential_scan(spark):
     rng = random.Random(4)
     rows = [
