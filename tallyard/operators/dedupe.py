@@ -302,32 +302,69 @@ def link_keys(rows: DataFrame, pos: str = "pos") -> DataFrame:
     Records with one key are linked: same site, same profile link, same bare name; and, for each pair of similar names of a
     city, a key of that pair.
     """
-    base = rows.select(
+    base = materialise(rows.select(
         F.col(pos).alias("pos"),
         urls.domain(F.col("website_url")).alias("site"),
         urls.canonical(F.col("linkedin_url")).alias("profile"),
         text.bare_company_name(F.col("name_en")).alias("name"),
         F.lower(text.filled(F.col("city"))).alias("city"),
-    ).filter("name is not null")
+    ).filter("name is not null"))
 
-    def of(kind: str, column: str, why: str, c: float) -> DataFrame:
-        key = F.concat(F.lit(f"{kind}|"), column).alias("key")
-        return base.filter(F.col(column).isNotNull()).select("pos", key, F.lit(why).alias("reason"), F.lit(c).alias("confidence"))
+    def of(kind: str, column: str, why: str, c: float) -> Column:
+        return F.struct(F.concat(F.lit(f"{kind}|"), column).alias("key"), F.lit(why).alias("reason"), F.lit(c).alias("confidence"))
 
     pairs = similar_name_pairs(base)
     pair = F.concat_ws("|", F.lit("n"), "city", "name_a", "name_b").alias("key")
     sides = pairs.select("city", pair, "confidence", F.explode(F.array("name_a", "name_b")).alias("name"))
     near = base.join(sides, ["city", "name"]).select("pos", "key", F.lit("similar name").alias("reason"), "confidence")
-    same = of("s", "site", "same domain", 0.95).union(of("p", "profile", "same profile", 0.9)).union(of("e", "name", "same name", 0.95))
+    own = F.array(of("s", "site", "same domain", 0.95), of("p", "profile", "same profile", 0.9), of("e", "name", "same name", 0.95))
+    same = base.select("pos", F.explode(own).alias("k")).select("pos", "k.*").filter("key is not null")
     return same.unionByName(near)
 
 
-def duplicate_groups(rows: DataFrame, pos: str = "pos") -> DataFrame:
+#: Most (record, key) rows that one task forms the last groups of.
+LAST_ROWS = 400_000
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The groups of some ``pos, key, reason, confidence``, by one scan in order of position."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    linked = pa.Table.from_batches(held)
+    keys = linked["key"].combine_chunks().dictionary_encode().indices.to_pylist()
+    rows = list(zip(linked["pos"].to_pylist(), keys, linked["confidence"].to_pylist(), linked["reason"].to_pylist()))
+    of_pos: dict[int, list[int]] = {}
+    of_key: dict[int, list[int]] = {}
+    for i, (p, k, _, _) in enumerate(rows):
+        of_pos.setdefault(p, []).append(i)
+        of_key.setdefault(k, []).append(i)
+    taken: set[int] = set()
+    out: list[tuple] = []
+    for head in sorted(of_pos):
+        if head in taken:
+            continue
+        best: dict[int, tuple] = {}
+        for i in of_pos[head]:
+            # a key's records are all in a group once its first open one has been the head
+            for p, _, c, why in (rows[j] for j in of_key.pop(rows[i][1], ())):
+                if p != head and p not in taken:
+                    best[p] = max(best.get(p, (c, why)), (c, why))
+        taken.update(best)
+        out += [(head, p, why, c) for p, (c, why) in best.items()]
+    kinds = [linked.schema.field(c).type for c in ("pos", "pos", "reason", "confidence")]
+    columns = list(zip(*out)) or [()] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["head_pos", "pos", "reason", "confidence"])
+
+
+def duplicate_groups(rows: DataFrame, pos: str = "pos", last_rows: int = LAST_ROWS) -> DataFrame:
     """``head_pos, pos, reason, confidence``: groups as one scan in order of position makes them.
 
     A record not yet in a group heads one and takes all records linked to it that are not yet in one. This is done in
-    rounds: whoever is the first of all its keys among the open records is a head, since nothing before it can take it. A
+    rounds: whoever is the first of all its keys among the open records is a head, since nothing before it can take it; it
+    takes a record when it is the first of all that record is linked to, else one before it may still become a head. A
     round is a few aggregates over (record, key) rows, so no task holds a group, and is written out before the next.
+    The last ``last_rows`` of these rows are scanned by one task, so a long chain of records isn't a round for each head.
     """
     columns = ("pos", "key", "reason", "confidence")
     open_keys = materialise(link_keys(rows, pos).distinct())
@@ -335,18 +372,21 @@ def duplicate_groups(rows: DataFrame, pos: str = "pos") -> DataFrame:
     while True:
         first = open_keys.groupBy("key").agg(F.min("pos").alias("first"), F.count_distinct("pos").alias("n"))
         linked = materialise(lookup_join(open_keys, materialise(first.filter("n > 1")), ["key"], "n"))
-        state = linked.groupBy("pos").agg(F.max(F.col("first") < F.col("pos")).alias("waits"))
-        heads = materialise(state.filter("not waits").select(F.col("pos").alias("first")))
+        if linked.count() <= last_rows:
+            kind = {f.name: f.dataType.simpleString() for f in linked.schema}
+            schema = f"head_pos {kind['pos']}, pos {kind['pos']}, reason string, confidence double"
+            last = materialise(linked.select(*columns).coalesce(1).mapInArrow(_scan, schema))
+            return last if found is None else found.unionByName(last)
+        least = materialise(linked.groupBy("pos").agg(F.min("first").alias("first")))
+        heads = least.filter("first = pos").select("first")
         best = F.max_by("reason", F.struct("confidence", "reason"))
-        taken = linked.filter("first < pos").join(heads, "first", "left_semi").groupBy("pos", "first")
-        taken = taken.agg(best.alias("reason"), F.max("confidence").alias("confidence"))
-        taken = taken.groupBy("pos").agg(F.min(F.struct("first", "reason", "confidence")).alias("t"))
-        taken = materialise(taken.select(F.col("t.first").alias("head_pos"), "pos", "t.reason", "t.confidence"))
+        taken = linked.join(least.filter("first < pos"), ["pos", "first"], "left_semi").join(heads, "first", "left_semi")
+        taken = taken.groupBy("pos", "first").agg(best.alias("reason"), F.max("confidence").alias("confidence"))
+        taken = materialise(taken.select(F.col("first").alias("head_pos"), "pos", "reason", "confidence"))
         if taken.isEmpty():
             return taken if found is None else found
         found = taken if found is None else found.unionByName(taken)
-        gone = taken.select("pos").union(heads.select(F.col("first").alias("pos")))
-        open_keys = linked.select(*columns).join(gone, "pos", "left_anti")
+        open_keys = linked.select(*columns).join(taken.select("pos"), "pos", "left_anti")
 
 
 def star_links(rows: DataFrame, key: Column, pos: str = "pos") -> DataFrame:

@@ -134,6 +134,20 @@ def test_duplicate_groups_are_those_of_the_sequential_scan(spark):
     assert dedupe.duplicate_groups(frame(spark, [])).count() == 0
 
 
+def test_duplicate_groups_of_a_long_chain_are_few_rounds(spark, monkeypatch):
+    rows = [{"pos": i, "name_en": f"N{(i + 1) // 2}", "website_url": f"s{i // 2}.example"} for i in range(60)]
+    written, materialise = [], dedupe.materialise
+    monkeypatch.setattr(dedupe, "materialise", lambda df: written.append(1) or materialise(df))
+    got = {(r.head_pos, r.pos) for r in dedupe.duplicate_groups(frame(spark, rows)).collect()}
+    assert got == {(i, i + 1) for i in range(0, 60, 2)} and len(written) < 15
+    waiting = [{"pos": i, "name_en": n, "website_url": f"{w}.example"} for i, (n, w) in enumerate((("Zz", "a"), ("Bb", "a"), ("Bb", "c"), ("Dd", "e"), ("Dd", "c")))]
+    for n in (-1, dedupe.LAST_ROWS):
+        assert {(r.head_pos, r.pos) for r in dedupe.duplicate_groups(frame(spark, waiting), last_rows=n).collect()} == {(0, 1), (2, 4)}
+    rows = [{"pos": i, "name_en": f"N{i * 7 % 11}", "website_url": f"s{i * 5 % 13}.example", "linkedin_url": f"l.example/{i * i % 17}"} for i in range(30)]
+    groups = [sorted(map(tuple, dedupe.duplicate_groups(frame(spark, rows), last_rows=n).collect())) for n in (-1, dedupe.LAST_ROWS)]
+    assert groups[0] == groups[1] and groups[0]
+
+
 @pytest.mark.parametrize("hot", [1, 5, 1000])
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_lookup_join_is_a_join(spark, hot, how):
