@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyard.functions import text
 from tallyard.operators import dedupe, metrics, pages, query
-from tallyard.session import lookup_join
+from tallyard.session import lookup_join, materialise
 from tallyard.sources import exports
 from tallyard.streaming import live
 
@@ -332,3 +332,12 @@ def test_unknown_strategies_are_an_error(spark):
 
     with pytest.raises(ValueError):
         extra.resolved(spark.range(0), "newest", ("a",))
+
+
+def test_materialise_leaves_no_shuffle_files(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, held = spark.conf.get(key, None), files()
+    counted = materialise(spark.range(20_000).groupBy((F.col("id") % 500).alias("k")).count())
+    assert files() <= held and spark.conf.get(key, None) == before
+    assert counted.count() == 500 and counted.agg(F.sum("count")).first()[0] == 20_000
