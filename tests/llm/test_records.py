@@ -386,6 +386,60 @@ def test_bounded_distance(a, b, k):
     assert names.near(a, b, k) == min(osa(a, b), k + 1)
 
 
+def test_marks_part_most_candidates_and_no_spellings(spark):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(4)
+    arabic = str.maketrans({**dict(zip("bkrsKS", "بكرسخش")), "a": None, "u": None, "i": "ي"})
+    consonant = lambda: rng.choice(["b", "k", "r", "s", "kh", "sh"])
+    word = lambda: "".join(consonant() + rng.choice(["a", "u", "i"]) for _ in range(3)) + consonant()
+
+    def typed(w):
+        at = rng.randrange(1, len(w))
+        return rng.choice([w, w[:at] + w[at + 1 :], w[:at] + rng.choice("aub") + w[at:], w[: at - 1] + w[at] + w[at - 1] + w[at + 1 :]])
+
+    held = []
+    for _ in range(400):
+        two = [word(), word()]
+        written = [w.replace("kh", "K").replace("sh", "S").translate(arabic) for w in two]
+        held += [[typed(w) for w in two], [typed(w) for w in two[::-1]] + written, [*written], [*two, typed(written[0])], [*two, word()]]
+    held = [(sorted(set(x)), ["k"] if rng.random() < 0.1 else []) for x in held]
+    met = defaultdict(set)
+    for n, (tokens, shorts) in enumerate(held):
+        for k in names.index_keys(tokens, shorts, True):
+            met[k].add(n)
+    pairs = sorted({p for x in met.values() for p in itertools.combinations(sorted(x), 2)})
+    marks = [[m - (1 << 64) if m >> 63 else m for m in names.name_marks(*x)] for x in held]
+    columns = ", ".join(f"{p}{c} long" for p in ("x_", "y_") for c in names.MARKS)
+    frame = spark.createDataFrame([(a, b, *marks[a], *marks[b]) for a, b in pairs], f"a long, b long, {columns}")
+    kept = {(r.a, r.b) for r in frame.filter(names.marks_allow("x_", "y_")).select("a", "b").collect()}
+    same = {(a, b) for a, b in pairs if names.same_names(held[a][0], held[b][0], held[a][1], held[b][1])}
+    marked = [p for p in pairs if marks[p[0]][0] and marks[p[1]][0] and p not in same]
+    assert len(same) > 1000 and same <= kept
+    assert len(marked) > 1000 and sum(p in kept for p in marked) < 0.3 * len(marked)
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(alphabet="abCDkhsg7w '-واليؤئأآةىـًÉßﻻ1٣", max_size=12))
+def test_words_met_together_have_the_forms_of_each(text):
+    import unicodedata
+
+    t = unicodedata.normalize("NFD", names._TATWEEL.sub("", unicodedata.normalize("NFKC", text)).translate(names._ALEF).casefold())
+    assert names.fold(text) == "".join(c for c in t if not unicodedata.combining(c))
+    found = set(names.words(text)) | {"khabookhja", "الخبوخج"}
+    names._MET.clear()
+    names.learn_forms(found)
+    together = dict(names._MET)
+    for w in found:
+        names._MET.clear()
+        assert together[w] == (names.coarse(w), names.spelling(w), names.across(w))
+    one, other = names.Tokenizer({"printing", "company", "للطباعة"}), names.Tokenizer({"printing", "company", "للطباعة"})
+    found |= {"printng", "prntg", "pritningg", "companyprinting", "raasid", "للطباع"}
+    one.learn(found)
+    assert one._known == {w: other.ordinary(w) for w in found}
+
+
 def test_variants(spark):
     filler = [{"pos": 1000 + i, "name_en": f"Q{i % 7}zv{i}k M{i}rtb Printing Company"} for i in range(60)]
     rows = [
